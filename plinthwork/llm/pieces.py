@@ -16,8 +16,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,7 @@ class Pieces:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.alone, self.right, self.left, self.fits, self.runs = {}, {}, {}, {}, {}
-        self.kept: dict[str, tuple[bytes, int, str]] = {}
+        self.kept: dict[str, tuple[bytes, int, str, bytes]] = {}
 
     def _merge(self, chars: str):
         """Plain merging by a heap; tokens as (piece, left part, right part)."""
@@ -162,8 +164,8 @@ class Pieces:
             return self._run(marks) + ids[1:]
         return self._run(marks - 1) + ids
 
-    def parts(self, text: str) -> list[tuple[bytes, int, str]]:
-        """For each chunk its ids as text, their number, and what they decode to."""
+    def parts(self, text: str) -> list[tuple[bytes, int, str, bytes]]:
+        """For each chunk its ids as text, their number, what they decode to, and the ids as 32-bit integers."""
         if not text:
             return []
         if " " not in (text[0], text[-1]) and "  " not in text and MARK not in text:
@@ -181,7 +183,7 @@ class Pieces:
             part = kept.get(c)
             if part is None:
                 ids = self._chunk(1, c) if isinstance(c, str) else self._chunk(*c)
-                part = (",".join(map(str, ids)).encode(), len(ids), self.decode_raw(ids))
+                part = (",".join(map(str, ids)).encode(), len(ids), self.decode_raw(ids), array("i", ids).tobytes())
                 if len(c) <= KEPT_LENGTH and not (isinstance(c, tuple) and len(c[1]) + c[0] > KEPT_LENGTH):
                     if len(kept) >= KEPT_CHUNKS:
                         kept.clear()
@@ -190,7 +192,7 @@ class Pieces:
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(x) for part in self.parts(text or "") for x in part[0].split(b",")]
+        return array("i", b"".join([p[3] for p in self.parts(text or "")])).tolist()
 
     def decode_raw(self, ids: list[int]) -> str:
         out, held = [], bytearray()
@@ -245,8 +247,9 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
                 a.append(hashlib.sha256(joined).hexdigest())
                 b.append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(x) for x in joined.split(b",")] if joined else [])
-            more = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
+                    ids.append(b"".join([p[3] for p in parts]))
+            ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+            more = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))] if with_ids else []
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *more], [*batch.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     given = docs.select(F.col(text).alias("__text"), *keep)

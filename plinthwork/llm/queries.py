@@ -3,40 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plinthwork.functions.storage import table
-from plinthwork.llm import mixing, pieces, repeats, simhash, toxicity
-
-
-def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+from plinthwork.llm import chat, media, mixing, passages, pieces, repeats, simhash, toxicity, urls, vectors
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_components(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    return chat.read_back(chat.format_conversations(turns.unionByName(more)))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passage_components(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op3_repeats, op5_toxicity, op7_mixing, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_media, op3_repeats, op4_vectors, op5_toxicity, op6_chat, op7_mixing, op8_passages, op9_sentencepiece, op10_urls)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

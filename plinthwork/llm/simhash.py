@@ -139,6 +139,16 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return ran.distinct()
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, radius: int, keep: tuple[str, ...]) -> DataFrame:
+    """``doc_id, *keep, fp, label, component_id``; ``label`` is one fingerprint of the row's group."""
+    printed = cut(fingerprints(docs, text, (doc_id, *keep)), "fingerprints")
+    fps = printed.groupBy("fp").agg(F.min(doc_id).alias("low"))
+    parts = connected_components(links(fps.select("fp"), radius))
+    labelled = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("label"))
+    lows = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    return printed.join(labelled.join(lows, "label").select("fp", "label", "component_id"), "fp")
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, *keep, fingerprint, component_id`` for each row of ``docs``.
 
@@ -146,10 +156,14 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     fingerprints are linked. Null or blank texts have fingerprint zero and link like any other. A null id is
     never a component's id unless the component holds no other. Repeated rows stay. No rows: no rows.
     """
-    printed = cut(fingerprints(docs, text, (doc_id, *keep)), "fingerprints")
-    fps = printed.groupBy("fp").agg(F.min(doc_id).alias("low"))
-    parts = connected_components(links(fps.select("fp"), radius))
-    labelled = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("label"))
-    lows = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = labelled.join(lows, "label").select("fp", "component_id")
-    return printed.join(named, "fp").select(doc_id, *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, doc_id, text, radius, keep).select(doc_id, *keep, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of near-duplicates the one with the smallest id, nulls last."""
+    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__k1"), F.xxhash64(text).alias("__k2")]
+    keyed = docs.select("*", *key)
+    rows = _grouped(keyed, doc_id, text, radius, ("__k1", "__k2")).groupBy("label", "__k1", "__k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.col(doc_id).isNull()).alias("unnamed"))
+    best = rows.groupBy("label").agg(F.min(F.struct("unnamed", "__k1", "__k2", "n")).alias("w")).select("w.__k1", "w.__k2", F.col("w.n").alias("__n"))
+    once = keyed.join(best, ["__k1", "__k2"])
+    return once.where("__n = 1").unionByName(once.where("__n > 1").dropDuplicates(["__k1", "__k2"])).select(*docs.columns)
