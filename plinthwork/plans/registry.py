@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-PACKS: list = []
+from plinthwork.plans import relational, scorecards
+
+PACKS = [scorecards, relational]
 
 
 def queries() -> dict:
