@@ -103,9 +103,13 @@ def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def segments(bodies: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """(row, start, size, anchor, content) arrays of the segments of some texts."""
+    """(row, start, size, span, times, anchor, content) arrays of the segments of some texts.
+
+    Equal segments next to each other, as in text with a short period, are one entry: ``times`` of them, from
+    ``start`` over ``span`` bytes.
+    """
     rows = [i for i, x in enumerate(bodies) if len(x) >= length]
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    out: list[list[np.ndarray]] = [[] for _ in range(7)]
     group, held = [], 0
     for i in [*rows, None]:
         if group and (i is None or held + len(bodies[i]) > _SPAN):
@@ -159,9 +163,13 @@ def _segments(group, bodies, length, gram, out):
     starts, stops = at[begin], at[end] + length
     digest = xxhash.xxh3_64_intdigest
     content = np.fromiter((digest(text[a:b]) for a, b in zip(starts.tolist(), stops.tolist())), np.uint64, len(starts)).view(np.int64)
-    own = owner[begin]
+    own, anchor = owner[begin], h[low[begin]].view(np.int64)
+    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))))
+    times = np.diff(np.append(new, len(own)))
+    span = stops[new + times - 1] - starts[new]
+    own, starts, size = own[new], starts[new], stops[new] - starts[new]
     ids, shift = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-    for x, y in zip(out, (ids[own], starts - offsets[own] + shift[own], stops - starts, h[low[begin]].view(np.int64), content)):
+    for x, y in zip(out, (ids[own], starts - offsets[own] + shift[own], size, span, times, anchor[new], content[new])):
         x.append(y)
 
 
@@ -169,9 +177,10 @@ def _find(length, gram):
     def run(batches):
         for batch in batches:
             bodies = [b or b"" for b in batch.column(2).to_pylist()]
-            row, start, size, anchor, content = segments(bodies, length, gram)
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(anchor), pa.array(content)], ["k1", "k2", "start", "size", "anchor", "content"])
+            row, *rest = segments(bodies, length, gram)
+            row = pa.array(row, pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *map(pa.array, rest, kinds)], ["k1", "k2", "start", "size", "span", "times", "anchor", "content"])
 
     return run
 
@@ -224,21 +233,23 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
 
     ``found`` is an array of (start, spans): places of segments and the spans to remove, relative to them.
     """
-    every = cut(keyed.select("k1", "k2", "body").mapInArrow(_find(length, gram), "k1 bigint, k2 bigint, start int, size int, anchor bigint, content bigint"), "segments")
-    twice = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    every = cut(keyed.select("k1", "k2", "body").mapInArrow(_find(length, gram), "k1 bigint, k2 bigint, start int, size int, span int, times int, anchor bigint, content bigint"), "segments")
+    # Sums are written before they are joined: then both sides are plain shuffles, whose hot parts can be split.
+    twice = cut(every.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor"), "anchors")
     repeated = cut(every.join(twice, "anchor"), "repeated")
-    distinct = repeated.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "start", "size")])
-    crowd = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    kinds = cut(distinct.join(crowd, "anchor"), "kinds")
-    whole = kinds.where("n > 1").select("anchor", "content", F.array(F.lit(0), F.col("size")).alias("spans"))
-    read = kinds.where("kinds > 1").join(keyed.select("k1", "k2", "body"), ["k1", "k2"]).select("anchor", "content", F.substring("body", F.col("start") + 1, F.col("size")).alias("piece"), "n", "kinds")
+    distinct = cut(repeated.groupBy("anchor", "content").agg(F.sum("times").alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "start", "size")]), "distinct")
+    crowd = cut(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "crowds")
+    whole = distinct.where("n > 1").select("anchor", "content", F.lit(None).cast("array<int>").alias("spans"))
+    kinds = distinct.join(crowd, "anchor")
+    read = kinds.join(keyed.select("k1", "k2", "body"), ["k1", "k2"]).select("anchor", "content", F.substring("body", F.col("start") + 1, F.col("size")).alias("piece"), "n", "kinds")
     usual = read.where(F.col("kinds") <= group).drop("kinds").repartition("anchor").sortWithinPartitions("anchor", "content")
     indexed = usual.mapInArrow(_index(length), "anchor bigint, content bigint, spans array<int>")
     crowded = read.where(F.col("kinds") > group).drop("kinds").mapInArrow(_windows(length), "anchor bigint, content bigint, at int, mark binary")
     again = crowded.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
     judged = crowded.join(again, "mark").groupBy("anchor", "content").agg(F.flatten(F.transform(F.array_sort(F.collect_set("at")), lambda x: F.array(x, x + length))).alias("spans"))
     marks = whole.unionByName(indexed).unionByName(judged)
-    return repeated.join(marks, ["anchor", "content"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    marked = repeated.join(marks, ["anchor", "content"]).select("k1", "k2", F.struct("start", F.coalesce("spans", F.array(F.lit(0), F.col("span"))).alias("spans")).alias("found"))
+    return marked.groupBy("k1", "k2").agg(F.collect_list("found").alias("found"))
 
 
 def _cut_out(body: bytes, found) -> tuple[bytes, int, int]:
