@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import relational, scorecards
+from plinthwork.plans import matching, relational, scorecards
 
-PACKS = [scorecards, relational]
+PACKS = [scorecards, relational, matching]
 
 
 def queries() -> dict:
