@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import matching, relational, scorecards
+from plinthwork.plans import analytics, matching, relational, scorecards
 
-PACKS = [scorecards, relational, matching]
+PACKS = [scorecards, relational, matching, analytics]
 
 
 def queries() -> dict:
