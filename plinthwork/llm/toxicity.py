@@ -18,6 +18,7 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ from plinthwork.functions.storage import cut
 THRESHOLD = 0.7
 #: Bounds of the fit: labelled rows of each class that are read, and words or stems that are kept.
 FIT_ROWS, FIT_WORDS = 4000, 2000
-LEAST_DOCS, LEAST_ODDS, LEAST_G, STEMS = 4, 2.5, 20.0, (4, 5, 6, 7)
+LEAST_DOCS, LEAST_ODDS, LEAST_G, STEMS = 5, 3.5, 20.0, (4, 5, 6, 7)
 
 # The grammar's closed word classes.
 INSULTS = "idiot moron scum trash stupid pathetic worthless disgusting loser imbecile vermin filth".split()
@@ -137,6 +138,16 @@ def _terms(batches):
         yield out(seen)
 
 
+def _lowest(batches):
+    """Each text with the lowest hash among its three-word shingles."""
+    for batch in batches:
+        low = []
+        for text in batch.column(0):
+            words = text.as_py().encode().split()
+            low.append(min(xxhash.xxh3_64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(low, np.uint64).view(np.int64)), *batch.columns], ["low", "__text", "__y"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, words: int = FIT_WORDS) -> Grammar:
     """Learn from at most ``rows`` labelled texts of each class, drawn by a hash of the id, none held out.
 
@@ -146,7 +157,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).where(~held_out("__id") & F.col("__y").isin(0, 1))
     picks = [usable.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(rows) for y in (0, 1)]
     chosen = picks[0].unionByName(picks[1]).dropDuplicates(["__id"])  # at most 2 * rows ids
-    sample = cut(docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__text", "__y"), "toxic-sample")
+    read = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").where("__text is not null")
+    # One text of each lowest shingle: copies of one toxic text must not make its other words look toxic.
+    lowest = read.select("__text", "__y").mapInArrow(_lowest, "low bigint, __text string, __y int")
+    sample = cut(lowest.dropDuplicates(["low"]).select("__text", "__y"), "toxic-sample")
     counts = {r["__y"]: r["n"] for r in sample.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Grammar(prior)
@@ -158,6 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     best = seen.where(F.col("p") >= LEAST_DOCS).select("term", "p", "q", odds.alias("odds"), g.alias("g")).where((F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G)).orderBy(F.desc("odds"), "term").limit(words).collect()
     lexicon: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r["term"]), r["term"])):
+        if any(t["term"] != r["term"] and t["term"].startswith(r["term"].rstrip("*")) and t["p"] >= 0.9 * r["p"] and t["odds"] > r["odds"] + 0.7 for t in best):
+            continue  # a longer term says the same, and more surely
         stem = next((s for n in STEMS if (s := r["term"][:n] + "*") in lexicon and s != r["term"]), None)
         if stem is None or lexicon[stem] < r["odds"] - 0.7:
             lexicon[r["term"]] = min(8.0, float(r["odds"]))
