@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import analytics, matching, relational, scorecards
+from plinthwork.plans import analytics, matching, relational, scorecards, textual
 
-PACKS = [scorecards, relational, matching, analytics]
+PACKS = [scorecards, relational, matching, analytics, textual]
 
 
 def queries() -> dict:
