@@ -5,11 +5,12 @@ probability. The flight phase moves the probabilities of three documents at a ti
 constraints, the document total and the word total, until one of them is 0 or 1. Documents fly in hashed blocks
 of their source; the two or so that each block leaves over fly again in blocks of blocks, so that a source with
 a third of all rows is spread over many tasks. What is left at the top, two documents a source, is landed by
-trying all their outcomes for the nearest word total.
+trying all their outcomes for the nearest word total, and by swaps that make up the rest.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import random
@@ -66,16 +67,38 @@ def fly(p: list[float], size: list[int], seed: int) -> list[float]:
         active = [i for i in active if 0 < p[i] < 1]
 
 
-def land(p: list[float], size: list[int]) -> list[float]:
-    """Round the few p still between 0 and 1 to the outcome with the nearest word total, then document total."""
-    rest = [i for i, x in enumerate(p) if 0 < x < 1]
-    if rest:
-        def off(outcome):
-            moved = [o - p[i] for o, i in zip(outcome, rest)]
-            return abs(sum(m * size[i] for m, i in zip(moved, rest))), abs(sum(moved)), outcome
+def land(p: list[float], size: list[int], before: list[float], swaps: int = 8) -> list[float]:
+    """Round the few p still between 0 and 1 to the outcome with the nearest word total, then document total.
 
-        for i, o in zip(rest, min(itertools.product((0, 1), repeat=len(rest)), key=off)):
-            p[i] = o
+    What the rounding leaves of the word total is made up by swapping drawn for undrawn documents, the pair
+    that brings it nearest each time; the document total stays. ``before`` has the probabilities to start with.
+    """
+    rest = [i for i, x in enumerate(p) if 0 < x < 1]
+    if not rest:
+        return p
+
+    def off(outcome):
+        moved = [o - p[i] for o, i in zip(outcome, rest)]
+        return abs(sum(m * size[i] for m, i in zip(moved, rest))), abs(sum(moved)), outcome
+
+    for i, o in zip(rest, min(itertools.product((0, 1), repeat=len(rest)), key=off)):
+        p[i] = o
+    lack = sum(b * s for b, s in zip(before, size)) - sum(x * s for x, s in zip(p, size))
+    free = [i for i, b in enumerate(before) if 0 < b < 1]
+    for _ in range(swaps):
+        drawn = [i for i in free if p[i] == 1]
+        spare = sorted((size[i], i) for i in free if p[i] == 0)
+        best = None
+        for i in drawn:
+            at = bisect.bisect_left(spare, (size[i] + lack, -1))
+            for s, j in spare[max(0, at - 1) : at + 1]:
+                off_by = abs(lack - (s - size[i]))
+                if best is None or (off_by, i, j) < best:
+                    best = (off_by, i, j)
+        if best is None or best[0] >= abs(lack):
+            break
+        _, i, j = best
+        p[i], p[j], lack = 0, 1, lack - (size[j] - size[i])
     return p
 
 
@@ -105,8 +128,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["__size", "__order", "__id"], ascending=[False, True, True], kind="stable", ignore_index=True)
             size, seed = pdf["__size"].tolist(), int(pdf["__order"].iloc[0]) & 0x7FFFFFFF  # short documents last: they are left over
-            p = fly(pdf["__p"].tolist(), size, seed)
-            p = land(p, size) if last else p
+            before = pdf["__p"].tolist()
+            p = fly(list(before), size, seed)
+            p = land(p, size, before) if last else p
             pdf["__p"] = p
             pdf["__more"] = [int(x) if x in (0, 1) else -1 for x in p]
             return pdf[schema.names]

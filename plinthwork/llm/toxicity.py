@@ -35,7 +35,7 @@ THREATS = "kill hurt destroy beat shoot stab burn töten verletzen zerstören tu
 TARGETS = "you your they them he she him her these those du ihr sie dich euch tu vous ils elles toi usted tú ellos vosotros".split()
 NEGATIONS = "not no never neither without isn't aren't don't nicht kein keine nie ne pas jamais aucun no nunca sin".split()
 REPORTS = "said says wrote reported quoted claimed called asked sagte schrieb berichtete nannte dit écrit rapporté appelé dijo escribió llamó".split()
-PRIOR, PRIOR_WEIGHTS = 4.0, (-2.5, 0.9, 1.1, 0.1, 0.3, 0.9)
+PRIOR, PRIOR_WEIGHTS = 4.0, (-2.0, 2.2, 2.6, 0.3, 0.5, 2.2)
 
 EVENTS = ("plain", "aimed", "negated", "reported", "threat")
 NEGATION_SCOPE, TARGET_SCOPE, THREAT_SCOPE, CONTEXT = 3, 4, 3, 160
