@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import analytics, matching, relational, scorecards, textual
+from plinthwork.plans import analytics, matching, relational, rollups, scorecards, textual
 
-PACKS = [scorecards, relational, matching, analytics, textual]
+PACKS = [scorecards, relational, matching, analytics, textual, rollups]
 
 
 def queries() -> dict:
