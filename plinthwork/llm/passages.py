@@ -132,9 +132,9 @@ def _surroundings(least, hashes):
     return run
 
 
-def _similar(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> bool:
-    """Exact check: LEAST shingles of each, at the same place, with that Jaccard similarity."""
-    for s in range(least):
+def _similar(a: np.ndarray, b: np.ndarray, places, least: int, similarity: float) -> bool:
+    """Exact check at the given places: LEAST shingles of each with that Jaccard similarity."""
+    for s in places:
         p, q = a[s : s + least], b[s : s + least]
         if p.all() and q.all():
             p, q = set(p.tolist()), set(q.tolist())
@@ -143,37 +143,74 @@ def _similar(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> boo
     return False
 
 
+def _candidates(x: np.ndarray, label: np.ndarray, least: int):
+    """Row pairs of different labels that can be similar, each once, as two arrays.
+
+    Similar windows differ in so few shingles that, on the side of the minimum where they reach farther, three
+    in a row next to each other agree, in place or moved by the one word that an edit adds or takes.
+    """
+    n = len(x)
+    if n <= 64:
+        i, j = np.triu_indices(n, 1)
+        apart = label[i] != label[j]
+        return i[apart], j[apart]
+    w = x.astype(np.uint64)
+    three = (w[:, :-2] * _MIX[0]) ^ (w[:, 1:-1] * _MIX[1] + _MIX[3]) ^ (w[:, 2:] * _MIX[2] + _MIX[4])
+    three[(x[:, :-2] == 0) | (x[:, 1:-1] == 0) | (x[:, 2:] == 0)] = 0
+    c, blocks = least - 1, (least // 2 - 1) // 3
+    places, codes = [c + 1 + 3 * b for b in range(blocks)] + [c - 3 - 3 * b for b in range(blocks)], np.zeros(0, np.int64)
+    for move in (0, 1, -1):
+        for at in places:
+            if not 0 <= at + move < three.shape[1]:
+                continue
+            base, other = three[:, at], three[:, at + move]
+            order = np.lexsort((label, other))
+            sorted_ = other[order]
+            lo, hi = np.searchsorted(sorted_, base, "left"), np.searchsorted(sorted_, base, "right")
+            mine = np.flatnonzero((hi > lo) & (base != 0))
+            if not len(mine):
+                continue
+            mine = mine[(label[order[lo[mine]]] != label[mine]) | (label[order[hi[mine] - 1]] != label[mine])]
+            for part in np.array_split(mine, max(1, int((hi[mine] - lo[mine]).sum()) >> 18)):
+                size = hi[part] - lo[part]
+                i = np.repeat(part, size)
+                j = order[np.repeat(lo[part] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(part) else part
+                apart = label[i] != label[j]
+                codes = np.union1d(codes, np.minimum(i, j)[apart] * n + np.maximum(i, j)[apart])
+    return codes // n, codes % n
+
+
 def _compare(least, similarity):
-    need = int(np.ceil(similarity * 2 * least / (1 + similarity) - 1e-9)) - 2
+    need = int(np.ceil(similarity * 2 * least / (1 + similarity) - 1e-9)) - 1
 
     def flush(rows):
-        x = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(len(rows), -1)
-        node, n, out = [r[1] for r in rows], len(rows), []
-        parent = {v: v for v in node}
-
-        def root(v):
-            while parent[v] != v:
-                parent[v] = v = parent[parent[v]]
-            return v
-
-        for r in rows:
-            if (a := root(r[1])) != (b := parent.setdefault(r[3], r[3]) and root(r[3])):
-                parent[max(a, b)] = min(a, b)  # texts of one class need no link
+        """Links between classes of one block pair, one for each merge of two classes."""
+        n, out = len(rows), []
+        label = np.unique([r[3] for r in rows], return_inverse=True)[1]  # texts of one class need no link
+        if not label.any():
+            return out
+        x = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(n, -1)
         wide = x.shape[1]
-        for i in range(n):
-            rest = np.array([j for j in range(i + 1, n) if root(node[j]) != root(node[i])], np.int64)
-            for lo in range(0, len(rest), 256):
-                at = rest[lo : lo + 256]
-                same = np.zeros((len(at), wide), bool)
-                for d in range(-SHIFT, SHIFT + 1):
-                    a, b = max(0, -d), wide - max(0, d)
-                    same[:, a:b] |= (x[i, a:b] == x[at, a + d : b + d]) & (x[i, a:b] != 0)
-                run = np.cumsum(np.pad(same, ((0, 0), (1, 0))), axis=1, dtype=np.int32)
-                for j in at[(run[:, least:] - run[:, :-least]).max(axis=1) >= need].tolist():
-                    p, q = root(node[i]), root(node[j])
-                    if p != q and _similar(x[i], x[j], least, similarity):
-                        out.append((node[i], node[j]))
-                        parent[max(p, q)] = min(p, q)
+        i, j = _candidates(x, label, least)
+        for lo in range(0, len(i), 4096):
+            p, q = i[lo : lo + 4096], j[lo : lo + 4096]
+            apart = label[p] != label[q]
+            p, q = p[apart], q[apart]
+            if not len(p):
+                continue
+            one, two = x[p], x[q]
+            same = (one == two) & (one != 0)
+            for d in range(1, SHIFT + 1):
+                same[:, :-d] |= (one[:, :-d] == two[:, d:]) & (one[:, :-d] != 0)
+                same[:, d:] |= (one[:, d:] == two[:, :-d]) & (one[:, d:] != 0)
+            run = np.zeros((len(p), wide + 1), np.int16)
+            np.cumsum(same, axis=1, out=run[:, 1:])
+            near = run[:, least:] - run[:, :-least] >= need
+            for k in np.flatnonzero(near.any(axis=1)).tolist():
+                a, b = int(p[k]), int(q[k])
+                if label[a] != label[b] and _similar(x[a], x[b], np.flatnonzero(near[k]).tolist(), least, similarity):
+                    out.append((rows[a][1], rows[b][1]))
+                    label[label == label[b]] = label[a]
         return out
 
     def batch_of(out):
@@ -213,16 +250,27 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     stars = cut(shared.join(lows, ["key", "middle"]).where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "same-passages")
     first = connected_components(stars)
     classed = cut(shared.select("key", "node").distinct().join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class")), "classes")
-    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo != hi")
-    asked = classed.join(mixed.select("key", "n"), "key")
+    mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
+    asked = classed.join(mixed, "key").select("key", "node", "class")
     wanted = asked.groupBy("node").agg(F.collect_set("key").alias("asked"))
     pieces = given.join(wanted, "node").select("node", "body", "asked").mapInArrow(_surroundings(least, hashes), "key bigint, node bigint, piece binary")
-    pieces = cut(pieces.join(asked, ["key", "node"]), "pieces")
-    crowd = pieces.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
-    sized = pieces.drop("n").join(crowd, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("k").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = sized.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "piece", "class")
-    near = dealt.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_compare(least, similarity), "a bigint, b bigint")
-    parts = connected_components(stars.unionByName(near))
+    # Copies have equal surroundings: one of each class stands for them.
+    pieces = cut(pieces.join(asked, ["key", "node"]).groupBy("key", "class", "piece").agg(F.min("node").alias("node")), "pieces")
+    crowd = cut(pieces.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")), "crowds")
+    sized = pieces.join(crowd, "key")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        dealt = rows.withColumn("own", F.pmod(F.xxhash64("piece"), F.col("k").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "piece", "class")
+        return cut(dealt.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_compare(least, similarity), "a bigint, b bigint"), "near")
+
+    # Small groups first: what they link need not be told apart in the large ones, most of which then hold one class.
+    links = stars.unionByName(compared(sized.where("k = 1")))
+    joined = connected_components(links)
+    large = sized.where("k > 1").join(joined, "node", "left").select("key", "node", "piece", F.coalesce("component", "class").alias("class"), "k")
+    large = cut(large.groupBy("key", "class", "piece", "k").agg(F.min("node").alias("node")), "large")
+    still = cut(large.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key"), "still")
+    parts = connected_components(links.unionByName(compared(large.join(still, "key"))))
     tally = shared.groupBy("node").agg(F.countDistinct("key").alias("n_shared"))
     out = docs.select(F.col(doc_id), F.col(doc_id).cast("long").alias("__node"))
     return (
