@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plinthwork.functions.numbers import rounded
-from plinthwork.functions.storage import table
+from plinthwork.functions.storage import cut, table
 from plinthwork.operators import relational as rel
 from plinthwork.operators import statistics as st
 from plinthwork.plans.scorecards import R
@@ -189,7 +189,7 @@ def interlock_pairs(spark, d):
 
 def two_hop(spark, d):
     """Suppliers linked only through a third, over pairs that share a fifth more parts than pairs do on average."""
-    pairs = st.interlocks(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+    pairs = cut(st.interlocks(table(spark, d, "lineitem"), "l_suppkey", "l_partkey"), "interlocks")  # read several times
     usual = pairs.agg((F.sum("shared") / F.count(F.lit(1))).alias("usual"))
     return st.two_hops(pairs.join(F.broadcast(usual)).where(F.col("shared") > F.col("usual") * 1.2))
 
