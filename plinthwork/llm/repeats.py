@@ -117,12 +117,12 @@ def segments(bodies: list[bytes], length: int = LENGTH, gram: int = GRAM):
             group, held = [], 0
         if i is not None:
             body, step = bodies[i], _SPAN - length
-            for at in range(0, max(1, len(body) - length + 1), step):  # very long texts in overlapping spans
-                if len(body) > _SPAN:
-                    _segments([(i, at, min(len(body), at + step + length - 1))], bodies, length, gram, out)
-                else:
-                    group.append((i, 0, len(body)))
-            held += len(body) if len(body) <= _SPAN else 0
+            if len(body) <= _SPAN:
+                group.append((i, 0, len(body)))
+                held += len(body)
+                continue
+            for at in range(0, len(body) - length + 1, step):  # very long texts in overlapping spans
+                _segments([(i, at, min(len(body), at + step + length - 1))], bodies, length, gram, out)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 

@@ -158,6 +158,14 @@ def test_very_long_texts_are_cut_in_overlapping_spans():
     assert len(inner & set(zip(anchor[row == 0].tolist(), content[row == 0].tolist()))) >= len(inner) - 4
 
 
+def test_texts_at_the_span_boundary_keep_what_is_unique(spark):
+    rng = random.Random(12)
+    shared = prose(rng, 120)
+    rows = [(k, (prose(rng, 30_000) + shared)[-n:]) for k, n in enumerate((repeats._SPAN - 1, repeats._SPAN, repeats._SPAN + 1))]
+    got = repeats.remove_repeats(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
+
+
 def test_compact_windows_are_the_minima_of_long_subsequences():
     rng = np.random.default_rng(0)
     for n, least in ((5, 8), (8, 8), (60, 8), (200, 16)):
