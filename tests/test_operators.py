@@ -129,6 +129,20 @@ def test_gower_and_raking(spark):
     assert {r.a: pytest.approx(r.t, abs=0.01) for r in out.groupBy("a").agg(F.sum("value").alias("t")).collect()} == {"r": 40.0, "s": 60.0}
 
 
+def test_nearest_in_large_blocks_are_those_of_all_rows(spark):
+    n = 12_001
+    rows = spark.range(n).selectExpr("id", "'hot' AS block", f"(id * 7919) % {n} AS x").unionByName(spark.createDataFrame([(n, "two", 0), (n + 1, "two", 0), (n + 2, None, 0)], "id long, block string, x long"))
+    got = {(r.id, r.place): (r.other, r.distance) for r in st.nearest_in_blocks(rows, "id", "block", F.abs(F.col("x_1") - F.col("x_2")), 2).where("id < 300 or id >= 12001").collect()}
+    owner = {i * 7919 % n: i for i in range(n)}
+    for i in range(300):
+        x = i * 7919 % n
+        want = sorted((abs(y - x), owner[y]) for y in range(max(0, x - 3), min(n, x + 4)) if y != x)[:2]
+        assert [got[i, 1], got[i, 2]] == [(o, d) for d, o in want]
+    assert len(got) == 600
+    pooled = st.nearest_in_blocks(rows.where("id < 50"), "id", "block", F.abs(F.col("x_1") - F.col("x_2")), 5, largest=3).collect()
+    assert len({r.other for r in pooled}) == 3
+
+
 def test_parents_stop_at_cycles(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "x"), ("p", "q"), ("q", "r"), ("r", "p")], "child string, parent string")
     assert {r.child: (r.ancestor, r.steps) for r in st.ultimate_parents(e).collect()} == {"a": ("c", 2), "b": ("c", 1), "p": ("r", 2), "q": ("p", 2), "r": ("q", 2)}
