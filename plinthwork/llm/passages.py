@@ -9,9 +9,15 @@ alone gives the tree.
 
 Windows of different texts with one min-hash are joined. First, windows whose ``LEAST`` shingles around c are
 the same are linked in stars, by minima that are combined before the shuffle. Then, for min-hashes that still
-join several classes of texts, the windows' surroundings are compared in blocks of ``BLOCK``, larger groups as
-block pairs: two texts are linked if LEAST shingles of each, at the same place relative to the shared minimum,
-have a Jaccard similarity of ``SIMILARITY`` or more. A block pair returns a spanning forest of its links.
+join several classes of texts, the shingles around them are compared in blocks of ``BLOCK``, larger groups as
+block pairs: two texts are linked if any passages of ``LEAST`` or more shingles that hold the shared minimum,
+each with a length and an offset of its own, have a Jaccard similarity of ``SIMILARITY`` or more. A block pair
+returns a spanning forest of its links.
+
+How far around c to look follows from the threshold. Let similar passages have no repeated shingle and keep
+their order. Cut both behind a match: one side is similar as well, and is a passage unless it is too short. So
+passages that cannot be shortened have at most ``2 * LEAST - 1`` matches, and as many over ``SIMILARITY``
+shingles. They have their own min-hashes; each hash function shows them with a probability of their similarity.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 from plinthwork.functions.storage import cut
 from plinthwork.operators.components import connected_components
 
-SHINGLE, LEAST, HASHES, SIMILARITY, BLOCK, SHIFT = 5, 46, 3, 0.8, 512, 3
+SHINGLE, LEAST, HASHES, SIMILARITY, BLOCK = 5, 46, 3, 0.8, 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPAN, _POS = 1 << 20, np.uint64((1 << 21) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -105,21 +111,26 @@ def _find(least, hashes):
     return run
 
 
-def _surroundings(least, hashes):
-    """For texts and the min-hashes asked for: the 2 * LEAST - 1 shingles around each, zero where there is none."""
+def reach_of(least: int, similarity: float) -> int:
+    """Shingles on either side of a minimum that hold every passage that cannot be shortened."""
+    return int((2 * least - 1) / similarity + 1e-9) - 1
+
+
+def _surroundings(least, hashes, reach):
+    """For texts and the min-hashes asked for: ``reach`` shingles on each side of them, zero where there is none."""
     def run(batches):
         for batch in batches:
             out = []
             for node, body, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 x, wanted, seen = shingles(body), np.array(sorted(set(asked)), np.int64), set()
-                near = np.zeros(len(x) + 2 * least - 2, np.uint32)
-                near[least - 1 : least - 1 + len(x)] = (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                near = np.zeros(len(x) + 2 * reach, np.uint32)
+                near[reach : reach + len(x)] = (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 for f in range(hashes):
                     c, _, _ = compact_windows(x, f, least)
                     key = _keys(x, c, f)
                     hit = np.isin(key, wanted)
                     for k, at in zip(key[hit].tolist(), c[hit].tolist()):
-                        piece = near[at : at + 2 * least - 1].tobytes()
+                        piece = near[at : at + 2 * reach + 1].tobytes()
                         if (k, piece) not in seen:
                             seen.add((k, piece))
                             out.append((k, node, piece))
@@ -132,57 +143,104 @@ def _surroundings(least, hashes):
     return run
 
 
-def _similar(a: np.ndarray, b: np.ndarray, places, least: int, similarity: float) -> bool:
-    """Exact check at the given places: LEAST shingles of each with that Jaccard similarity."""
-    for s in places:
-        p, q = a[s : s + least], b[s : s + least]
-        if p.all() and q.all():
-            p, q = set(p.tolist()), set(q.tolist())
-            if len(p & q) >= similarity * len(p | q):
-                return True
-    return False
+def _extent(a: np.ndarray) -> tuple[int, int]:
+    """Shingles of a row on the left and on the right of its middle."""
+    at, c = np.flatnonzero(a), len(a) // 2
+    return c - int(at[0]), int(at[-1]) - c
 
 
-def _candidates(x: np.ndarray, label: np.ndarray, least: int):
-    """Row pairs of different labels that can be similar, each once, as two arrays.
+def _similar(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> bool:
+    """Whether any passages of ``least`` or more shingles around the middles of two rows are similar.
 
-    Similar windows differ in so few shingles that, on the side of the minimum where they reach farther, three
-    in a row next to each other agree, in place or moved by the one word that an edit adds or takes.
+    Passages reach s, t to the left and e, g to the right of the middles. Without repeats, and with matches on
+    one side only, (1 + similarity) * matches - similarity * both lengths is a sum of a left and a right part.
     """
-    n = len(x)
-    if n <= 64:
-        i, j = np.triu_indices(n, 1)
-        apart = label[i] != label[j]
-        return i[apart], j[apart]
-    w = x.astype(np.uint64)
-    three = (w[:, :-2] * _MIX[0]) ^ (w[:, 1:-1] * _MIX[1] + _MIX[3]) ^ (w[:, 2:] * _MIX[2] + _MIX[4])
-    three[(x[:, :-2] == 0) | (x[:, 1:-1] == 0) | (x[:, 2:] == 0)] = 0
-    c, blocks = least - 1, (least // 2 - 1) // 3
-    places, codes = [c + 1 + 3 * b for b in range(blocks)] + [c - 3 - 3 * b for b in range(blocks)], np.zeros(0, np.int64)
-    for move in (0, 1, -1):
-        for at in places:
-            if not 0 <= at + move < three.shape[1]:
-                continue
-            base, other = three[:, at], three[:, at + move]
-            order = np.lexsort((label, other))
-            sorted_ = other[order]
-            lo, hi = np.searchsorted(sorted_, base, "left"), np.searchsorted(sorted_, base, "right")
-            mine = np.flatnonzero((hi > lo) & (base != 0))
-            if not len(mine):
+    (s, e), (t, g), c = _extent(a), _extent(b), len(a) // 2
+    if min(s + e, t + g) + 1 < least:
+        return False
+    x, y = a[c - s : c + e + 1], b[c - t : c + g + 1]
+    same, i, j = np.intersect1d(x, y, return_indices=True)
+    if len(np.unique(x)) < len(x) or len(np.unique(y)) < len(y):
+        return _similar_sets(x, y, s, t, least, similarity)
+    i, j = i - s, j - t
+
+    def side(di, dj, wide, high):
+        on = (di > 0) & (dj > 0)
+        m = np.bincount(di[on] * (high + 1) + dj[on], minlength=(wide + 1) * (high + 1)).reshape(wide + 1, high + 1).cumsum(0).cumsum(1)
+        return (1 + similarity) * m - similarity * (np.arange(wide + 1)[:, None] + np.arange(high + 1))
+
+    right = side(i, j, e, g)
+    right = np.maximum.accumulate(np.maximum.accumulate(right[::-1, ::-1], 0), 1)[::-1, ::-1]  # the best from there on
+    short, low = np.maximum(0, least - 1 - np.arange(s + 1)), np.maximum(0, least - 1 - np.arange(t + 1))
+    p, q = np.flatnonzero(short <= e), np.flatnonzero(low <= g)
+    best = (side(-i, -j, s, t)[np.ix_(p, q)] + right[np.ix_(short[p], low[q])]).max() + 1 - similarity
+    crossing = int((i * j < 0).sum())
+    return best >= -1e-9 or (crossing > 0 and best + (1 + similarity) * crossing >= -1e-9 and _similar_sets(x, y, s, t, least, similarity))
+
+
+def _firsts(x: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles from ``begin`` on, and where each comes first."""
+    v, at = np.unique(x[begin:], return_index=True)
+    return v, at + begin
+
+
+def _similar_sets(x: np.ndarray, y: np.ndarray, s: int, t: int, least: int, similarity: float) -> bool:
+    """The same for shingles that repeat or change sides, by sets: all ends at once for each two starts."""
+    def opened(z, c):
+        for begin in range(c + 1):
+            stop = max(c, begin + least - 1)
+            if stop < len(z):
+                v, at = _firsts(z, begin)
+                n = np.bincount(at, minlength=len(z)).cumsum()[stop:]
+                yield stop, v, at, n
+
+    others = list(opened(y, t))
+    for stop, v, at, n in opened(x, s):
+        for stop2, v2, at2, n2 in others:
+            same, i, j = np.intersect1d(v, v2, assume_unique=True, return_indices=True)
+            if len(same) < similarity * max(n[0], n2[0]) - 1e-9:
                 continue
-            mine = mine[(label[order[lo[mine]]] != label[mine]) | (label[order[hi[mine] - 1]] != label[mine])]
-            for part in np.array_split(mine, max(1, int((hi[mine] - lo[mine]).sum()) >> 18)):
-                size = hi[part] - lo[part]
-                i = np.repeat(part, size)
-                j = order[np.repeat(lo[part] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())] if len(part) else part
-                apart = label[i] != label[j]
-                codes = np.union1d(codes, np.minimum(i, j)[apart] * n + np.maximum(i, j)[apart])
-    return codes // n, codes % n
+            p, q = np.maximum(at[i] - stop, 0), np.maximum(at2[j] - stop2, 0)
+            m = np.bincount(p * len(n2) + q, minlength=len(n) * len(n2)).reshape(len(n), len(n2)).cumsum(0).cumsum(1)
+            if ((1 + similarity) * m >= similarity * (n[:, None] + n2) - 1e-9).any():
+                return True
+    return False
 
 
-def _compare(least, similarity):
-    need = int(np.ceil(similarity * 2 * least / (1 + similarity) - 1e-9)) - 1
+def _least_matches(a: np.ndarray, least: int, similarity: float) -> int:
+    """Matches that any similar passage around the middle of a row has at least."""
+    (s, e), c = _extent(a), len(a) // 2
+    x = a[c - s : c + e + 1]
+    fewest = least if len(np.unique(x)) == len(x) else min((len(np.unique(x[b : b + least])) for b in range(max(0, s - least + 1), min(s, len(x) - least) + 1)), default=least)
+    return int(np.ceil(similarity * fewest - 1e-9))
+
+
+def _candidates(x: np.ndarray, label: np.ndarray, least: int, similarity: float):
+    """Row pairs of different labels with enough shingles in common, most first, as two arrays."""
+    n, wide = x.shape
+    v, code = np.unique(x, return_inverse=True)
+    cell = np.unique(np.repeat(np.arange(n), wide) * len(v) + code.ravel())
+    row, code = cell // len(v), cell % len(v)
+    lo, hi = np.full(len(v), n), np.full(len(v), -1)
+    np.minimum.at(lo, code, label[row])
+    np.maximum.at(hi, code, label[row])
+    use = (lo < hi) & (v != 0)
+    place = np.cumsum(use) - 1
+    row, code = row[use[code]], place[code[use[code]]]
+    order = np.argsort(code, kind="stable")
+    row, code, common = row[order], code[order], np.zeros((n, n), np.float32)
+    for at in range(0, int(use.sum()), 4096):
+        a, b = np.searchsorted(code, (at, at + 4096))
+        has = np.zeros((n, min(4096, int(use.sum()) - at)), np.float32)
+        has[row[a:b], code[a:b] - at] = 1
+        common += has @ has.T
+    need = np.array([_least_matches(a, least, similarity) for a in x])
+    i, j = np.nonzero(np.triu((common >= np.maximum(need[:, None], need)) & (label[:, None] != label), 1))
+    order = np.argsort(-common[i, j], kind="stable")
+    return i[order], j[order]
 
+
+def _compare(least, similarity):
     def flush(rows):
         """Links between classes of one block pair, one for each merge of two classes."""
         n, out = len(rows), []
@@ -190,25 +248,12 @@ def _compare(least, similarity):
         if not label.any():
             return out
         x = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(n, -1)
-        wide = x.shape[1]
-        i, j = _candidates(x, label, least)
+        i, j = _candidates(x, label, least, similarity)
         for lo in range(0, len(i), 4096):
             p, q = i[lo : lo + 4096], j[lo : lo + 4096]
             apart = label[p] != label[q]
-            p, q = p[apart], q[apart]
-            if not len(p):
-                continue
-            one, two = x[p], x[q]
-            same = (one == two) & (one != 0)
-            for d in range(1, SHIFT + 1):
-                same[:, :-d] |= (one[:, :-d] == two[:, d:]) & (one[:, :-d] != 0)
-                same[:, d:] |= (one[:, d:] == two[:, :-d]) & (one[:, d:] != 0)
-            run = np.zeros((len(p), wide + 1), np.int16)
-            np.cumsum(same, axis=1, out=run[:, 1:])
-            near = run[:, least:] - run[:, :-least] >= need
-            for k in np.flatnonzero(near.any(axis=1)).tolist():
-                a, b = int(p[k]), int(q[k])
-                if label[a] != label[b] and _similar(x[a], x[b], np.flatnonzero(near[k]).tolist(), least, similarity):
+            for a, b in zip(p[apart].tolist(), q[apart].tolist()):
+                if label[a] != label[b] and _similar(x[a], x[b], least, similarity):
                     out.append((rows[a][1], rows[b][1]))
                     label[label == label[b]] = label[a]
         return out
@@ -253,7 +298,7 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     asked = classed.join(mixed, "key").select("key", "node", "class")
     wanted = asked.groupBy("node").agg(F.collect_set("key").alias("asked"))
-    pieces = given.join(wanted, "node").select("node", "body", "asked").mapInArrow(_surroundings(least, hashes), "key bigint, node bigint, piece binary")
+    pieces = given.join(wanted, "node").select("node", "body", "asked").mapInArrow(_surroundings(least, hashes, reach_of(least, similarity)), "key bigint, node bigint, piece binary")
     # Copies have equal surroundings: one of each class stands for them.
     pieces = cut(pieces.join(asked, ["key", "node"]).groupBy("key", "class", "piece").agg(F.min("node").alias("node")), "pieces")
     crowd = cut(pieces.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")), "crowds")

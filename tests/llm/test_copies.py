@@ -192,6 +192,46 @@ def test_passages_link_exact_and_near_copies(spark):
         assert got == {i: 100 if 100 <= i <= 200 else i for i, _ in rows}
 
 
+@pytest.mark.parametrize("kind", ["edits", "repeats", "moves"])
+def test_similar_passages_are_those_of_all_lengths_and_offsets(kind):
+    rng, least, reach, found = random.Random(5), 5, passages.reach_of(5, 0.8), 0
+    for _ in range(60):
+        a = [rng.randint(1, 6) if kind == "repeats" else k + 100 for k in range(2 * reach + 1)]
+        b = list(a)
+        for _ in range(rng.randint(2, 5)):
+            at, n = rng.randrange(len(b)), rng.randint(1, 3)
+            b[at : at + rng.randint(0, 2)] = [rng.randint(1000, 9999) for _ in range(n)]
+        if kind == "moves":
+            at = rng.randrange(reach - 3, reach + 3)
+            b = b[at : at + 4] + b[:at] + b[at + 4 :]
+        c = a[reach]
+        if c not in b:
+            continue
+        at = b.index(c)
+        b = ([0] * reach + b + [0] * reach)[at : at + 2 * reach + 1]
+        spans = [[set(x[s:e]) for s in range(reach + 1) for e in range(max(reach + 1, s + least), len(x) + 1) if 0 not in x[s:e]] for x in (a, b)]
+        want = any(len(p & q) >= 0.8 * len(p | q) for p in spans[0] for q in spans[1])
+        assert passages._similar(np.array(a, np.uint32), np.array(b, np.uint32), least, 0.8) == want
+        found += want
+    assert 0 < found
+
+
+def test_passages_with_words_put_in_or_taken_out_are_linked(spark):
+    rng = random.Random(13)
+    rows, want = [], {}
+    for k in range(2, 11):
+        shared = prose(rng, 80).split()
+        for i, words in ((100 * k, shared), (100 * k + 1, shared[:40] + prose(rng, k).split() + shared[40:])):
+            rows.append((i, prose(rng, 70) + " " + " ".join(words) + " " + prose(rng, 60 + k)))
+            want[i] = 100 * k
+    for k in range(2, 7):
+        shared = prose(rng, 120).split()
+        for i, words in ((5000 + 10 * k, shared), (5001 + 10 * k, shared[:60] + shared[60 + k :])):
+            rows.append((i, prose(rng, 70) + " " + " ".join(words) + " " + prose(rng, 60)))
+            want[i] = 5000 + 10 * k
+    assert {r.doc_id: r.component_id for r in passages.passage_components(frame(spark, rows)).collect()} == want
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 16))
