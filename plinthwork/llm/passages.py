@@ -283,13 +283,14 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """``doc_id, n_shared, component_id`` for each row of ``docs``.
 
     ``component_id`` is the smallest id among the texts that chains of near-duplicate passages reach, itself
-    included; ``n_shared`` counts the min-hashes of the text that occur elsewhere too.
+    included; ``n_shared`` counts the min-hashes of the text that occur in other documents too, whether or not
+    they come from linked passages.
     Null texts, and texts under ``least`` shingles, link with nothing. Rows that share an id are one document;
     rows with a null id are left as they are, linked with nothing. No rows: no rows.
     """
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("binary").alias("body"))
     found = given.mapInArrow(_find(least, hashes), "node bigint, key bigint, middle bigint")
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    counts = found.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     shared = cut(found.join(counts, "key"), "shared")
     lows = shared.groupBy("key", "middle").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = cut(shared.join(lows, ["key", "middle"]).where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "same-passages")

@@ -232,6 +232,14 @@ def test_passages_with_words_put_in_or_taken_out_are_linked(spark):
     assert {r.doc_id: r.component_id for r in passages.passage_components(frame(spark, rows)).collect()} == want
 
 
+def test_a_line_repeated_within_one_document_is_not_shared(spark):
+    rng = random.Random(14)
+    line, other = prose(rng, 30), prose(rng, 60)
+    rows = [(1, " ".join(prose(rng, 40) + " " + line for _ in range(6))), (2, other + " " + prose(rng, 50)), (3, prose(rng, 50) + " " + other)]
+    got = {r.doc_id: r.n_shared for r in passages.passage_components(frame(spark, rows)).collect()}
+    assert got[1] == 0 < min(got[2], got[3])
+
+
 def test_vectors_against_all_pairs(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 16))
