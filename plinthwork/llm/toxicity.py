@@ -38,8 +38,9 @@ REPORTS = "said says wrote reported quoted claimed called asked sagte schrieb be
 PRIOR, PRIOR_WEIGHTS = 4.0, (-2.0, 2.2, 2.6, 0.3, 0.5, 2.2)
 
 EVENTS = ("plain", "aimed", "negated", "reported", "threat")
-NEGATION_SCOPE, TARGET_SCOPE, THREAT_SCOPE, CONTEXT = 3, 4, 3, 160
-_END, _WORD = re.compile(r"[.!?;:\n\r]"), re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+NEGATION_SCOPE, TARGET_SCOPE, THREAT_SCOPE = 3, 4, 3
+_ENDS = ".!?;:\n\r"
+_END, _WORD = re.compile(f"[{_ENDS}]"), re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
 def _countdown(on: str, scope: int):
@@ -97,9 +98,7 @@ class Grammar:
             at = end - length + 1
             if at < done or at and low[at - 1].isalnum():
                 continue
-            begin = max(done, at - CONTEXT)
-            for m in _END.finditer(low, begin, at):
-                begin = m.end()
+            begin = max(done, 1 + max(low.rfind(c, done, at) for c in _ENDS))  # the clause's real start
             stop = m.start() if (m := _END.search(low, end + 1)) else len(low)
             state = (0, 0, 0, 0)
             for m in _WORD.finditer(low, begin, stop):

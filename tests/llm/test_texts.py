@@ -96,6 +96,14 @@ def test_grammar_scores_clauses():
     assert all(0 <= s(t) <= 1 for t in ("", "idiot " * 10_000, "x" * 100_000))
 
 
+def test_reported_speech_holds_from_the_start_of_a_long_clause():
+    g = toxicity.Grammar({"idiot": 4.0})
+    for n in (1, 30, 300):
+        text = "You are here. He said" + " and so on" * n + " you idiot"
+        found = dict(zip(toxicity.EVENTS, g.features(text)))
+        assert found["reported"] > 0 and found["plain"] == found["aimed"] == 0, n
+
+
 def test_composition_is_complete():
     table = toxicity.compose()
     states = {s for s, _ in table}
