@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 # The rules (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Bound of the fit: labelled URLs that are read, drawn by a hash of the URL.
+#: Bound of the fit: distinct labelled URLs that are read, drawn by a hash of the URL. Copies say nothing new, as the label follows from the URL.
 FIT_ROWS = 20_000
 TREES, DEPTH, RATE, BINS, LEAST = 40, 3, 0.2, 32, 20
 FEATURES = ("url length", "host length", "path length", "host depth", "path depth", "digit share", "entropy", "parameters", "query length", "hyphens", "suffix record", "first part record", "secure")
@@ -148,8 +148,8 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RU
     split = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("__url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     ruled = split.select("*", rule.alias("rule"), verdict.alias("__verdict"))
-    known = ruled.where("rule is not null").orderBy(F.xxhash64("__url"), "__url").limit(rows)
-    model, records = fit([(r["__url"], r["host"], r["path"], int(r["__verdict"] == "block")) for r in known.select("__url", "host", "path", "__verdict").collect()])
+    known = ruled.where("rule is not null").select("__url", "host", "path", "__verdict").distinct().orderBy(F.xxhash64("__url"), "__url").limit(rows)
+    model, records = fit([(r["__url"], r["host"], r["path"], int(r["__verdict"] == "block")) for r in known.collect()])
 
     def run(batches):
         for batch in batches:

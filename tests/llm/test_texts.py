@@ -279,6 +279,17 @@ def test_boosted_trees_learn_held_out_rows():
 # The pipeline
 
 
+def test_a_hot_url_does_not_fill_the_sample(spark):
+    hot = "http://hot.example.com/en/page"
+    mixed = [f"http://h{i}.net/{'es' if i % 2 else 'fr'}/{i}" for i in range(100)] + [f"https://shop{i}.com/a/{i}" for i in range(100)]
+    # A rank of the hash that comes before all others' would let the copies fill the sample: any hot URL may.
+    ranked = [r.u for r in spark.createDataFrame([(u,) for u in [hot, *mixed]], "u string").orderBy(F.xxhash64("u")).collect()]
+    pages = [(k, ranked[0]) for k in range(1000)] + [(1000 + k, u) for k, u in enumerate(ranked[1:])] + [(5000, "http://x.org/es/1"), (5001, "https://shop.org/a/1")]
+    got = {r.page_id: r.score for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string"), rows=250).collect()}
+    assert got[5000] > got[5001]
+    assert len(got) == len(pages)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen, sets = docs, {}
