@@ -20,7 +20,8 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    """Digests of what is left without repeated strings of 400 bytes, and the text without those of ``PASSAGE`` bytes."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), passage=repeats.PASSAGE, with_text=True).withColumnRenamed("kept", "text")
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

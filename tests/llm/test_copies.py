@@ -132,13 +132,32 @@ def brute_repeats(rows, length):
     return sorted((i if i is not None else -1, len(b), int(c.sum()), int((np.diff(np.concatenate(([0], c))) == 1).sum()), hashlib.sha256(bytes(x for x, m in zip(b, c) if not m)).hexdigest()) for (i, _), b, c in zip(rows, bodies, cover))
 
 
-@pytest.mark.parametrize("group", [1024, 1])
-def test_removal_of_repeats(spark, corpus, group):
+@pytest.mark.parametrize("group, passage", [(1024, None), (1, None), (1024, 200), (1, 200)])
+def test_removal_of_repeats(spark, corpus, group, passage):
     rng = random.Random(2)
-    passage = prose(rng, 120)
-    rows = [*corpus, *[(1000 + k, prose(rng, 20) + " " + passage + " " + prose(rng, 20 + k)) for k in range(6)], (1000, corpus[9][1]), (None, passage), (2000, "日本語テキスト" * 90), (2001, "é日本語テキスト" * 90)]
-    got = repeats.remove_repeats(frame(spark, rows), group=group).collect()
+    shared = prose(rng, 120)
+    rows = [*corpus, *[(1000 + k, prose(rng, 20) + " " + shared + " " + prose(rng, 20 + k)) for k in range(6)], (1000, corpus[9][1]), (None, shared), (2000, "日本語テキスト" * 90), (2001, "é日本語テキスト" * 90)]
+    rows += [(3000, "xy" * 700 + passage_of(rng, 40)), (3001, passage_of(rng, 40) + "xy" * 150), (3002, ("abc " * 30 + prose(rng, 3) + " ") * 9)]
+    got = repeats.remove_repeats(frame(spark, rows), group=group, passage=passage, with_text=True).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
+    left = sorted((r.doc_id if r.doc_id is not None else -1, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got if r.doc_id not in (2000, 2001))  # whose characters may be cut in two
+    assert left == sorted((i, digest) for i, _, _, _, digest in brute_repeats(rows, passage or 400) if i not in (2000, 2001))
+
+
+def passage_of(rng, n):
+    return " " + prose(rng, n) + " "
+
+
+def test_a_crowded_passage_is_judged_by_its_surroundings(spark):
+    """One line in many texts with other text around it, twice with the same: anchors that no index would hold."""
+    rng = random.Random(21)
+    line, longer = prose(rng, 24)[:100], prose(rng, 80)[:330]
+    rows = [(k, prose(rng, 60) + " " + (line if k % 2 else longer) + " " + prose(rng, 60)) for k in range(240)]
+    rows += [(1000 + k, "tail " * k + rows[k][1][-480 - 3 * k :]) for k in range(12)] + [(2000, longer + longer)]
+    for passage in (None, 150):
+        got = repeats.remove_repeats(frame(spark, rows), passage=passage, group=20, with_text=True).collect()
+        assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 400)
+        assert sorted((r.doc_id, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == [(r[0], r[4]) for r in brute_repeats(rows, passage or 400)]
 
 
 def test_kept_text_is_what_is_left(spark):
@@ -152,7 +171,7 @@ def test_kept_text_is_what_is_left(spark):
 def test_very_long_texts_are_cut_in_overlapping_spans():
     rng = random.Random(9)
     long = prose(rng, 60_000).encode()
-    row, start, size, span, times, anchor, content = repeats.segments([long, b"short", long[150_000:180_000]])
+    row, start, size, span, times, base, anchor, content = repeats.segments([long, b"short", long[150_000:180_000]])
     assert set(row.tolist()) == {0, 2} and max((start + span)[row == 0]) == len(long)
     inner = set(zip(anchor[row == 2].tolist(), content[row == 2].tolist()))
     assert len(inner & set(zip(anchor[row == 0].tolist(), content[row == 0].tolist()))) >= len(inner) - 4
