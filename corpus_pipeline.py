@@ -31,9 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long passages that occur more than once; emptied ones stay, with an empty text."""
+    """Documents without passages of 256 bytes (some 40 words) or more that occur more than once; emptied ones stay, with an empty text."""
     rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    left = repeats.remove_repeats(docs, keep=rest, with_text=True)
+    left = repeats.remove_repeats(docs, keep=rest, length=repeats.PASSAGE, with_text=True)
     return left.select("doc_id", F.col("kept").alias("text"), *rest, F.length("kept").cast("long").alias("n_chars")).select(*docs.columns)
 
 
