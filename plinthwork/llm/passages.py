@@ -9,10 +9,11 @@ alone gives the tree.
 
 Windows of different texts with one min-hash are joined. First, windows whose ``LEAST`` shingles around c are
 the same are linked in stars, by minima that are combined before the shuffle. Then, for min-hashes that still
-join several classes of texts, the shingles around them are compared in blocks of ``BLOCK``, larger groups as
-block pairs: two texts are linked if any passages of ``LEAST`` or more shingles that hold the shared minimum,
-each with a length and an offset of its own, have a Jaccard similarity of ``SIMILARITY`` or more. A block pair
-returns a spanning forest of its links.
+join several classes of texts, windows become intervals [l, r], which carry the min-hashes of the windows of
+other hash functions that share passages with them: intervals of two texts are verified only if they meet under
+``ENOUGH`` hash functions. Two texts are linked if passages of ``LEAST`` or more shingles in such intervals, each
+with a length and an offset of its own, have an exact Jaccard similarity of ``SIMILARITY`` or more. Intervals are
+compared in blocks of ``BLOCK``, larger groups as block pairs; a block pair returns a spanning forest.
 
 How far around c to look follows from the threshold. Let similar passages have no repeated shingle and keep
 their order. Cut both behind a match: one side is similar as well, and is a passage unless it is too short. So
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from plinthwork.functions.storage import cut
 from plinthwork.operators.components import connected_components
 
-SHINGLE, LEAST, HASHES, SIMILARITY, BLOCK = 5, 46, 3, 0.8, 512
+SHINGLE, LEAST, HASHES, ENOUGH, SIMILARITY, BLOCK, COLD = 5, 46, 4, 2, 0.8, 2048, 32
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SPAN, _POS = 1 << 20, np.uint64((1 << 21) - 1)
+_SPAN, _POS = 1 << 19, np.uint64((1 << 21) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -60,53 +61,105 @@ def shingles(body: bytes | None, size: int = SHINGLE) -> np.ndarray:
 
 def compact_windows(x: np.ndarray, seed: int, least: int = LEAST):
     """(c, l, r) arrays of the compact windows of ``least`` or more shingles; ties go to the leftmost."""
+    return _windows(x, np.array([0]), np.array([len(x)]), seed, least)
+
+
+def _windows(x: np.ndarray, begins: np.ndarray, ends: np.ndarray, seed: int, least: int):
+    """The same for several texts in one array, at most 2 ** 21 long, each within [begin, end)."""
     n = len(x)
     if n < least:
         return (np.zeros(0, np.int64),) * 3
-    if n > _SPAN:  # very long texts in spans that overlap
-        parts = [(at, compact_windows(x[at : at + _SPAN], seed, least)) for at in range(0, n - least + 1, _SPAN - 2 * least)]
-        return tuple(np.concatenate([p[k] + at for at, p in parts]) for k in range(3))
     v = (_mixed(x, seed) & ~_POS) | np.arange(n, dtype=np.uint64)
     full = -(-n // least) * least
     grid = np.concatenate((v, np.full(full - n, np.uint64(0xFFFFFFFFFFFFFFFF)))).reshape(-1, least)
     head = np.minimum.accumulate(grid, axis=1).ravel()
     tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     low = np.minimum(tail[: n - least + 1], head[least - 1 : n])
-    low = low[np.concatenate(([True], low[1:] != low[:-1]))]
+    inside = np.zeros(n + 1, np.int32)
+    wide = ends - begins >= least
+    np.add.at(inside, begins[wide], 1)
+    np.add.at(inside, (ends - least + 1)[wide], -1)
+    low = low[np.cumsum(inside)[: n - least + 1] > 0]
+    low = low[np.concatenate(([True], low[1:] != low[:-1]))] if len(low) else low
     c = (low & _POS).astype(np.int64)
-    left, right, stack = [0] * len(c), [n - 1] * len(c), []
+    text = np.searchsorted(begins, c, side="right") - 1
+    left, right, stack, own = begins[text].tolist(), (ends[text] - 1).tolist(), [], -1
     at, value = c.tolist(), low.tolist()
-    for k, y in enumerate(value):
+    for k, (y, t) in enumerate(zip(value, text.tolist())):
+        if t != own:
+            stack, own = [], t
         while stack and value[stack[-1]] > y:
             right[stack.pop()] = at[k] - 1
-        left[k] = at[stack[-1]] + 1 if stack else 0
+        if stack:
+            left[k] = at[stack[-1]] + 1
         stack.append(k)
-    return c, np.array(left), np.array(right)
+    return c, np.array(left, np.int64), np.array(right, np.int64)
 
 
 def _keys(x: np.ndarray, c: np.ndarray, seed: int) -> np.ndarray:
     return _mixed(x[c] + np.uint64(seed), seed + 100).view(np.int64)
 
 
-def _find(least, hashes):
+def _rolled(x: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` values."""
+    h, wide = x * _MIX[0], 1
+    while wide * 2 <= size:
+        h = h[:-wide] * _MIX[1] + h[wide:]
+        h ^= h >> np.uint64(29)
+        h *= _MIX[2]
+        wide *= 2
+    if wide < size:
+        h = h[: len(x) - size + 1] * _MIX[3] + h[size - wide : len(x) - wide + 1]
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _laid_out(bodies, least: int, reach: int):
+    """Shingles of many texts in arrays of bounded size: (x, texts, begins, ends), ``reach`` zeros around each text.
+
+    Very long texts come in spans that overlap so that each passage that cannot be shortened is whole in one.
+    """
+    def flush(held):
+        gap, parts, begins, at = np.zeros(reach, np.uint64), [], [], 0
+        for _, x in held:
+            parts += [gap, x]
+            begins.append(at + reach)
+            at += reach + len(x)
+        begins = np.array(begins)
+        return np.concatenate([*parts, gap]), np.array([i for i, _ in held]), begins, begins + np.array([len(x) for _, x in held])
+
+    held, size, step = [], 0, _SPAN - 2 * reach - least
+    for i, body in enumerate(bodies):
+        x = shingles(body)
+        for at in range(0, max(1, len(x) - 2 * reach - least), step):
+            part = x[at : at + _SPAN]
+            if len(part) < least:
+                continue
+            if held and size + len(part) + reach > _SPAN:
+                yield flush(held)
+                held, size = [], 0
+            held.append((i, part))
+            size += len(part) + reach
+    if held:
+        yield flush(held)
+
+
+def _find(least, hashes, reach):
     def run(batches):
         for batch in batches:
-            nodes, keys, middles = [], [], []
-            for node, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x = shingles(body)
-                if len(x) < least:
-                    continue
-                raw = x.tobytes()
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for x, text, begins, ends in _laid_out(batch.column(1).to_pylist(), least, reach):
+                rolled, rows = _rolled(x, least), []
                 for f in range(hashes):
-                    c, l, r = compact_windows(x, f, least)
-                    begin = np.clip(c - least // 2, l, r - least + 1).tolist()  # LEAST shingles around c, in its window
-                    middle = [xxhash.xxh3_64_intdigest(raw[8 * b : 8 * (b + least)], f) for b in begin]
-                    seen = np.unique(np.column_stack((_keys(x, c, f), np.array(middle, np.uint64).view(np.int64))), axis=0)
-                    nodes.append(np.full(len(seen), node, np.int64))
-                    keys.append(seen[:, 0])
-                    middles.append(seen[:, 1])
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (nodes, keys, middles)], ["node", "key", "middle"])
+                    c, l, r = _windows(x, begins, ends, f, least)
+                    middle = rolled[np.clip(c - least // 2, l, r - least + 1)].view(np.int64)  # LEAST shingles around c, in its window
+                    own = text[np.searchsorted(begins, c, side="right") - 1]
+                    seen = np.column_stack((own, _keys(x, c, f), middle))
+                    order = np.lexsort(seen.T)
+                    seen = seen[order]
+                    rows.append(seen[np.concatenate(([True], (seen[1:] != seen[:-1]).any(axis=1)))] if len(seen) else seen)
+                rows = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[:, 0]], pa.int64()), pa.array(rows[:, 1], pa.int64()), pa.array(rows[:, 2], pa.int64())], ["node", "key", "middle"])
 
     return run
 
@@ -116,29 +169,54 @@ def reach_of(least: int, similarity: float) -> int:
     return int((2 * least - 1) / similarity + 1e-9) - 1
 
 
-def _surroundings(least, hashes, reach):
-    """For texts and the min-hashes asked for: ``reach`` shingles on each side of them, zero where there is none."""
+_INTERVAL = {"key": pa.int64(), "node": pa.int64(), "at": pa.int32(), "piece": pa.binary(), "others": pa.list_(pa.int32())}
+
+
+def _intervals(least, hashes, reach):
+    """For texts and the min-hashes asked for: their windows as intervals, and the other min-hashes they meet there.
+
+    ``piece`` holds the shingles of the interval (32 bits each, no zeros), at most ``reach`` on either side of its
+    minimum, which is number ``at``. Windows of two hash functions meet if a passage holds both minima.
+    """
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), _INTERVAL.values())], list(_INTERVAL))
+
     def run(batches):
         for batch in batches:
-            out = []
-            for node, body, asked in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                x, wanted, seen = shingles(body), np.array(sorted(set(asked)), np.int64), set()
-                near = np.zeros(len(x) + 2 * reach, np.uint32)
-                near[reach : reach + len(x)] = (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+            ids, asked = batch.column(0).to_pylist(), [set(a) for a in batch.column(2).to_pylist()]
+            for x, text, begins, ends in _laid_out(batch.column(1).to_pylist(), least, reach):
+                near = (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+                every = []
                 for f in range(hashes):
-                    c, _, _ = compact_windows(x, f, least)
+                    c, l, r = _windows(x, begins, ends, f, least)
                     key = _keys(x, c, f)
-                    hit = np.isin(key, wanted)
-                    for k, at in zip(key[hit].tolist(), c[hit].tolist()):
-                        piece = near[at : at + 2 * reach + 1].tobytes()
-                        if (k, piece) not in seen:
-                            seen.add((k, piece))
-                            out.append((k, node, piece))
-                if len(out) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["key", "node", "piece"])
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["key", "node", "piece"])
+                    every.append((c, l, r, key, (key >> np.int64(32)).astype(np.int32)))
+                out, seen = [], set()
+                for f, (c, l, r, key, _) in enumerate(every):
+                    own = text[np.searchsorted(begins, c, side="right") - 1]
+                    low, high = np.maximum(l, c - reach), np.minimum(r, c + reach)
+                    hit = [k for k, (o, y) in enumerate(zip(own.tolist(), key.tolist())) if y in asked[o]]
+                    others = [[] for _ in hit]
+                    for g, (c2, l2, r2, _, short) in enumerate(every):
+                        if g == f or not hit:
+                            continue
+                        first = np.searchsorted(c2, low[hit]).tolist()
+                        last = np.searchsorted(c2, high[hit], side="right").tolist()
+                        for j, (k, a, b) in enumerate(zip(hit, first, last)):
+                            m = c[k]
+                            ok = (l2[a:b] <= m) & (r2[a:b] >= m) & (np.minimum(r2[a:b], r[k]) - np.maximum(l2[a:b], l[k]) >= least - 1)
+                            others[j] += short[a:b][ok].tolist()
+                    for k, more in zip(hit, others):
+                        a, b, o = int(low[k]), int(high[k]) + 1, int(own[k])
+                        piece = near[a:b].tobytes()
+                        if (o, key[k], piece) not in seen:
+                            seen.add((o, key[k], piece))
+                            out.append((int(key[k]), ids[o], int(c[k]) - a, piece, sorted(set(more))))
+                    if len(out) > 5000:
+                        yield batch_of(out)
+                        out = []
+                if out:
+                    yield batch_of(out)
 
     return run
 
@@ -156,9 +234,14 @@ def _similar(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> boo
     one side only, (1 + similarity) * matches - similarity * both lengths is a sum of a left and a right part.
     """
     (s, e), (t, g), c = _extent(a), _extent(b), len(a) // 2
+    return _similar_around(a[c - s : c + e + 1], s, b[c - t : c + g + 1], t, least, similarity)
+
+
+def _similar_around(x: np.ndarray, s: int, y: np.ndarray, t: int, least: int, similarity: float) -> bool:
+    """The same for rows without padding, whose middles are number s and t."""
+    e, g = len(x) - 1 - s, len(y) - 1 - t
     if min(s + e, t + g) + 1 < least:
         return False
-    x, y = a[c - s : c + e + 1], b[c - t : c + g + 1]
     same, i, j = np.intersect1d(x, y, return_indices=True)
     if len(np.unique(x)) < len(x) or len(np.unique(y)) < len(y):
         return _similar_sets(x, y, s, t, least, similarity)
@@ -207,53 +290,79 @@ def _similar_sets(x: np.ndarray, y: np.ndarray, s: int, t: int, least: int, simi
     return False
 
 
-def _least_matches(a: np.ndarray, least: int, similarity: float) -> int:
-    """Matches that any similar passage around the middle of a row has at least."""
-    (s, e), c = _extent(a), len(a) // 2
-    x = a[c - s : c + e + 1]
+def _least_matches(x: np.ndarray, s: int, least: int, similarity: float) -> int:
+    """Matches that any similar passage around number s of a row has at least."""
     fewest = least if len(np.unique(x)) == len(x) else min((len(np.unique(x[b : b + least])) for b in range(max(0, s - least + 1), min(s, len(x) - least) + 1)), default=least)
     return int(np.ceil(similarity * fewest - 1e-9))
 
 
-def _candidates(x: np.ndarray, label: np.ndarray, least: int, similarity: float):
-    """Row pairs of different labels with enough shingles in common, most first, as two arrays."""
-    n, wide = x.shape
-    v, code = np.unique(x, return_inverse=True)
-    cell = np.unique(np.repeat(np.arange(n), wide) * len(v) + code.ravel())
-    row, code = cell // len(v), cell % len(v)
-    lo, hi = np.full(len(v), n), np.full(len(v), -1)
-    np.minimum.at(lo, code, label[row])
-    np.maximum.at(hi, code, label[row])
-    use = (lo < hi) & (v != 0)
-    place = np.cumsum(use) - 1
-    row, code = row[use[code]], place[code[use[code]]]
-    order = np.argsort(code, kind="stable")
-    row, code, common = row[order], code[order], np.zeros((n, n), np.float32)
-    for at in range(0, int(use.sum()), 4096):
-        a, b = np.searchsorted(code, (at, at + 4096))
-        has = np.zeros((n, min(4096, int(use.sum()) - at)), np.float32)
-        has[row[a:b], code[a:b] - at] = 1
-        common += has @ has.T
-    need = np.array([_least_matches(a, least, similarity) for a in x])
-    i, j = np.nonzero(np.triu((common >= np.maximum(need[:, None], need)) & (label[:, None] != label), 1))
-    order = np.argsort(-common[i, j], kind="stable")
+def _candidates(sets: list[np.ndarray], label: np.ndarray, need: np.ndarray):
+    """Row pairs of different labels with enough values in common, most first, as two arrays.
+
+    Values of at most ``COLD`` rows are looked up in lists of their rows. A row whose other values are too few
+    to suffice must share one of those with any partner; rows with more are counted against each other.
+    """
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(v) for v in sets])
+    v, code = np.unique(np.concatenate(sets), return_inverse=True)
+    low, high = np.full(len(v), n), np.full(len(v), -1)
+    np.minimum.at(low, code, label[row])
+    np.maximum.at(high, code, label[row])
+    use = (low < high)[code]
+    order = np.argsort(code[use], kind="stable")
+    row, code = row[use][order], code[use][order]
+    often = np.bincount(code, minlength=len(v))
+    cold = often[code] <= COLD
+    crow, ccode, pairs = row[cold], code[cold], []
+    for d in range(1, COLD):
+        same = np.flatnonzero(ccode[d:] == ccode[:-d]) if len(ccode) > d else []
+        if not len(same):
+            break
+        a, b = crow[same], crow[same + d]
+        apart = label[a] != label[b]
+        pairs.append(np.minimum(a, b)[apart] * n + np.maximum(a, b)[apart])
+    pair, common = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    hot = np.flatnonzero(often > COLD)
+    has = np.zeros((n, len(hot)), bool)
+    has[row[~cold], np.searchsorted(hot, code[~cold])] = True
+    held, bits = has.sum(axis=1), np.packbits(has, axis=1)
+    i, j = pair // n, pair % n
+    want = np.maximum(need[i], need[j])
+    on = common + np.minimum(held[i], held[j]) >= want
+    i, j, common, want = i[on], j[on], common[on], want[on]
+    for at in range(0, len(i), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        common[part] += np.bitwise_count(bits[i[part]] & bits[j[part]]).sum(axis=1, dtype=np.int64)
+    on = common >= want
+    found = [(i[on], j[on], common[on])]
+    heavy = np.flatnonzero(held >= need)
+    if len(heavy) > 1 and len(np.unique(label[heavy])) > 1:
+        h = has[heavy].astype(np.float32)
+        for at in range(0, len(heavy), 512):
+            g = h[at : at + 512] @ h.T
+            a, b = np.nonzero((g >= np.maximum(need[heavy[at : at + 512], None], need[heavy])) & (label[heavy[at : at + 512], None] < label[heavy]))
+            found.append((np.minimum(heavy[at + a], heavy[b]), np.maximum(heavy[at + a], heavy[b]), g[a, b].astype(np.int64)))
+    i, j, common = (np.concatenate([f[k] for f in found]) for k in range(3))
+    order = np.argsort(-common, kind="stable")
     return i[order], j[order]
 
 
-def _compare(least, similarity):
+def _compare(least, similarity, enough):
     def flush(rows):
         """Links between classes of one block pair, one for each merge of two classes."""
-        n, out = len(rows), []
-        label = np.unique([r[3] for r in rows], return_inverse=True)[1]  # texts of one class need no link
+        out = []
+        label = np.unique([r[2] for r in rows], return_inverse=True)[1]  # texts of one class need no link
         if not label.any():
             return out
-        x = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(n, -1)
-        i, j = _candidates(x, label, least, similarity)
-        for lo in range(0, len(i), 4096):
-            p, q = i[lo : lo + 4096], j[lo : lo + 4096]
+        x = [np.frombuffer(r[4], np.uint32) for r in rows]
+        need = np.array([_least_matches(v, r[3], least, similarity) for v, r in zip(x, rows)])
+        others = [set(r[5]) for r in rows]
+        i, j = _candidates([np.unique(v) for v in x], label, need)
+        for low in range(0, len(i), 4096):
+            p, q = i[low : low + 4096], j[low : low + 4096]
             apart = label[p] != label[q]
             for a, b in zip(p[apart].tolist(), q[apart].tolist()):
-                if label[a] != label[b] and _similar(x[a], x[b], least, similarity):
+                if label[a] != label[b] and (enough < 2 or len(others[a] & others[b]) >= enough - 1) and _similar_around(x[a], rows[a][3], x[b], rows[b][3], least, similarity):
                     out.append((rows[a][1], rows[b][1]))
                     label[label == label[b]] = label[a]
         return out
@@ -266,20 +375,20 @@ def _compare(least, similarity):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[0] != held[0][0]:
-                    out += flush(held)
+                    out += flush(held) if len(held) > 1 else []
                     held = []
                 held.append(row)
             if len(out) > 5000:
                 yield batch_of(out)
                 out = []
-        out += flush(held) if held else []
+        out += flush(held) if len(held) > 1 else []
         if out:
             yield batch_of(out)
 
     return run
 
 
-def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hashes: int = HASHES, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = LEAST, hashes: int = HASHES, enough: int = ENOUGH, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shared, component_id`` for each row of ``docs``.
 
     ``component_id`` is the smallest id among the texts that chains of near-duplicate passages reach, itself
@@ -288,8 +397,9 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Null texts, and texts under ``least`` shingles, link with nothing. Rows that share an id are one document;
     rows with a null id are left as they are, linked with nothing. No rows: no rows.
     """
+    reach = reach_of(least, similarity)
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("binary").alias("body"))
-    found = given.mapInArrow(_find(least, hashes), "node bigint, key bigint, middle bigint")
+    found = given.mapInArrow(_find(least, hashes, reach), "node bigint, key bigint, middle bigint")
     counts = found.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     shared = cut(found.join(counts, "key"), "shared")
     lows = shared.groupBy("key", "middle").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -297,24 +407,25 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     first = connected_components(stars)
     classed = cut(shared.select("key", "node").distinct().join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("class")), "classes")
     mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
-    asked = classed.join(mixed, "key").select("key", "node", "class")
-    wanted = asked.groupBy("node").agg(F.collect_set("key").alias("asked"))
-    pieces = given.join(wanted, "node").select("node", "body", "asked").mapInArrow(_surroundings(least, hashes, reach_of(least, similarity)), "key bigint, node bigint, piece binary")
-    # Copies have equal surroundings: one of each class stands for them.
-    pieces = cut(pieces.join(asked, ["key", "node"]).groupBy("key", "class", "piece").agg(F.min("node").alias("node")), "pieces")
-    crowd = cut(pieces.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k")), "crowds")
+    asked = cut(classed.join(mixed, "key").groupBy("node", "class").agg(F.collect_list("key").alias("asked")), "asked")
+    kind = "key bigint, node bigint, at int, piece binary, others array<int>"
+    pieces = given.join(asked.select("node", "asked"), "node").select("node", "body", "asked").mapInArrow(_intervals(least, hashes, reach), kind)
+    # Copies have equal intervals: one of each class stands for them.
+    pieces = pieces.join(asked.select("node", "class"), "node").groupBy("key", "class", "at", "piece", "others").agg(F.min("node").alias("node"))
+    pieces = cut(pieces, "intervals")
+    crowd = cut(pieces.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key", "k"), "crowds")
     sized = pieces.join(crowd, "key")
 
     def compared(rows: DataFrame) -> DataFrame:
         dealt = rows.withColumn("own", F.pmod(F.xxhash64("piece"), F.col("k").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "piece", "class")
-        return cut(dealt.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_compare(least, similarity), "a bigint, b bigint"), "near")
+        dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "class", "at", "piece", "others")
+        return cut(dealt.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_compare(least, similarity, enough), "a bigint, b bigint"), "near")
 
     # Small groups first: what they link need not be told apart in the large ones, most of which then hold one class.
     links = stars.unionByName(compared(sized.where("k = 1")))
     joined = connected_components(links)
-    large = sized.where("k > 1").join(joined, "node", "left").select("key", "node", "piece", F.coalesce("component", "class").alias("class"), "k")
-    large = cut(large.groupBy("key", "class", "piece", "k").agg(F.min("node").alias("node")), "large")
+    large = sized.where("k > 1").join(joined, "node", "left").select("key", "node", "at", "piece", "others", F.coalesce("component", "class").alias("class"), "k")
+    large = cut(large.groupBy("key", "class", "at", "piece", "others", "k").agg(F.min("node").alias("node")), "large")
     still = cut(large.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key"), "still")
     parts = connected_components(links.unionByName(compared(large.join(still, "key"))))
     tally = shared.groupBy("node").agg(F.countDistinct("key").alias("n_shared"))
