@@ -172,8 +172,8 @@ def reach_of(least: int, similarity: float) -> int:
 _INTERVAL = {"key": pa.int64(), "node": pa.int64(), "at": pa.int32(), "piece": pa.binary(), "others": pa.list_(pa.int32())}
 
 
-def _intervals(least, hashes, reach):
-    """For texts and the min-hashes asked for: their windows as intervals, and the other min-hashes they meet there.
+def _intervals(least, hashes, reach, enough):
+    """For texts and the min-hashes asked for: their windows as intervals, and the others asked for that they meet there.
 
     ``piece`` holds the shingles of the interval (32 bits each, no zeros), at most ``reach`` on either side of its
     minimum, which is number ``at``. Windows of two hash functions meet if a passage holds both minima.
@@ -190,23 +190,26 @@ def _intervals(least, hashes, reach):
                 for f in range(hashes):
                     c, l, r = _windows(x, begins, ends, f, least)
                     key = _keys(x, c, f)
-                    every.append((c, l, r, key, (key >> np.int64(32)).astype(np.int32)))
-                out, seen = [], set()
-                for f, (c, l, r, key, _) in enumerate(every):
                     own = text[np.searchsorted(begins, c, side="right") - 1]
-                    low, high = np.maximum(l, c - reach), np.minimum(r, c + reach)
                     hit = [k for k, (o, y) in enumerate(zip(own.tolist(), key.tolist())) if y in asked[o]]
+                    every.append((c[hit], l[hit], r[hit], key[hit], (key[hit] >> np.int64(32)).astype(np.int32), own[hit]))
+                out, seen = [], set()
+                for f, (c, l, r, key, _, own) in enumerate(every):
+                    low, high = np.maximum(l, c - reach), np.minimum(r, c + reach)
+                    hit = range(len(c))
                     others = [[] for _ in hit]
-                    for g, (c2, l2, r2, _, short) in enumerate(every):
-                        if g == f or not hit:
+                    for g, (c2, l2, r2, _, short, _) in enumerate(every):
+                        if g == f or not len(c):
                             continue
-                        first = np.searchsorted(c2, low[hit]).tolist()
-                        last = np.searchsorted(c2, high[hit], side="right").tolist()
+                        first = np.searchsorted(c2, low).tolist()
+                        last = np.searchsorted(c2, high, side="right").tolist()
                         for j, (k, a, b) in enumerate(zip(hit, first, last)):
                             m = c[k]
                             ok = (l2[a:b] <= m) & (r2[a:b] >= m) & (np.minimum(r2[a:b], r[k]) - np.maximum(l2[a:b], l[k]) >= least - 1)
                             others[j] += short[a:b][ok].tolist()
                     for k, more in zip(hit, others):
+                        if len(more) < enough - 1:
+                            continue
                         a, b, o = int(low[k]), int(high[k]) + 1, int(own[k])
                         piece = near[a:b].tobytes()
                         if (o, key[k], piece) not in seen:
@@ -237,28 +240,62 @@ def _similar(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> boo
     return _similar_around(a[c - s : c + e + 1], s, b[c - t : c + g + 1], t, least, similarity)
 
 
-def _similar_around(x: np.ndarray, s: int, y: np.ndarray, t: int, least: int, similarity: float) -> bool:
-    """The same for rows without padding, whose middles are number s and t."""
+def _similar_around(x: np.ndarray, s: int, y: np.ndarray, t: int, least: int, similarity: float, ux: np.ndarray | None = None, uy: np.ndarray | None = None) -> bool:
+    """The same for rows without padding, whose middles are number s and t; their distinct values may be given."""
     e, g = len(x) - 1 - s, len(y) - 1 - t
     if min(s + e, t + g) + 1 < least:
         return False
-    same, i, j = np.intersect1d(x, y, return_indices=True)
-    if len(np.unique(x)) < len(x) or len(np.unique(y)) < len(y):
-        return _similar_sets(x, y, s, t, least, similarity)
-    i, j = i - s, j - t
-
-    def side(di, dj, wide, high):
-        on = (di > 0) & (dj > 0)
-        m = np.bincount(di[on] * (high + 1) + dj[on], minlength=(wide + 1) * (high + 1)).reshape(wide + 1, high + 1).cumsum(0).cumsum(1)
-        return (1 + similarity) * m - similarity * (np.arange(wide + 1)[:, None] + np.arange(high + 1))
-
-    right = side(i, j, e, g)
+    ux, uy = np.unique(x) if ux is None else ux, np.unique(y) if uy is None else uy
+    plain = len(ux) == len(x) and len(uy) == len(y)
+    begins = _starts(x, s, uy, least, similarity, plain)
+    if not begins or not (others := _starts(y, t, ux, least, similarity, plain)):
+        return False
+    if not plain:
+        return _similar_sets(x, y, s, t, least, similarity, begins, others)
+    # Distinct shingles on the left and on the right of each middle with their least distance from it.
+    (lx, dlx), (rx, drx), (ly, dly), (ry, dry) = _nearest(x[:s][::-1]), _nearest(x[s + 1 :]), _nearest(y[:t][::-1]), _nearest(y[t + 1 :])
+
+    def side(u, du, wide, v, dv, high):
+        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        m = np.bincount(du[i] * (high + 1) + dv[j], minlength=(wide + 1) * (high + 1)).reshape(wide + 1, high + 1).cumsum(0).cumsum(1)
+        n, k = (np.bincount(d, minlength=z + 1).cumsum() for d, z in ((du, wide), (dv, high)))
+        return (1 + similarity) * m - similarity * (n[:, None] + k)
+
+    right = side(rx, drx, e, ry, dry, g)
     right = np.maximum.accumulate(np.maximum.accumulate(right[::-1, ::-1], 0), 1)[::-1, ::-1]  # the best from there on
     short, low = np.maximum(0, least - 1 - np.arange(s + 1)), np.maximum(0, least - 1 - np.arange(t + 1))
     p, q = np.flatnonzero(short <= e), np.flatnonzero(low <= g)
-    best = (side(-i, -j, s, t)[np.ix_(p, q)] + right[np.ix_(short[p], low[q])]).max() + 1 - similarity
-    crossing = int((i * j < 0).sum())
-    return best >= -1e-9 or (crossing > 0 and best + (1 + similarity) * crossing >= -1e-9 and _similar_sets(x, y, s, t, least, similarity))
+    best = (side(lx, dlx, s, ly, dly, t)[np.ix_(p, q)] + right[np.ix_(short[p], low[q])]).max() + 1 - similarity
+    crossing = np.isin(lx, ry).sum() + np.isin(rx, ly).sum()
+    if plain and not crossing:
+        return bool(best >= -1e-9)
+    again = len(np.append(lx, rx)) + 1 - len(ux) + len(np.append(ly, ry)) + 1 - len(uy)  # counted on both sides
+    return bool(best + (1 + similarity) * crossing + similarity * again >= -1e-9) and _similar_sets(x, y, s, t, least, similarity, begins, others)
+
+
+def _nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values with the least distance, from 1, of each."""
+    v, at = np.unique(x, return_index=True)
+    return v, at + 1
+
+
+def _starts(x: np.ndarray, s: int, y: np.ndarray, least: int, similarity: float, plain: bool) -> list[int]:
+    """Starts of passages around number s of a row with a share of ``similarity`` of their shingles in sorted y, as all similar ones have."""
+    on = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) - similarity
+    begin = np.arange(min(s, len(x) - least) + 1)
+    if plain:
+        total = np.concatenate(([0.0], np.cumsum(on)))
+        best = np.maximum.accumulate(total[::-1])[::-1]  # the best end from there on
+        return np.flatnonzero(best[np.maximum(s + 1, begin + least)] - total[begin] >= -1e-9).tolist()
+    order = np.argsort(x, kind="stable")
+    same = x[order[1:]] == x[order[:-1]]
+    before = np.full(len(x), -1)
+    before[order[1:][same]] = order[:-1][same]
+    new = before[None, :] < begin[:, None]  # the first of its kind from this start on
+    new &= np.arange(len(x))[None, :] >= begin[:, None]
+    total = np.cumsum(np.where(new, on[None, :], 0.0), axis=1)
+    total[np.arange(len(x))[None, :] < np.maximum(s, begin + least - 1)[:, None]] = -1.0
+    return np.flatnonzero(total.max(axis=1) >= -1e-9).tolist()
 
 
 def _firsts(x: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,19 +304,25 @@ def _firsts(x: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     return v, at + begin
 
 
-def _similar_sets(x: np.ndarray, y: np.ndarray, s: int, t: int, least: int, similarity: float) -> bool:
+def _similar_sets(x: np.ndarray, y: np.ndarray, s: int, t: int, least: int, similarity: float, begins: list[int], others: list[int]) -> bool:
     """The same for shingles that repeat or change sides, by sets: all ends at once for each two starts."""
-    def opened(z, c):
-        for begin in range(c + 1):
+    def opened(z, c, starts):
+        seen = set()
+        for begin in starts:
             stop = max(c, begin + least - 1)
             if stop < len(z):
                 v, at = _firsts(z, begin)
                 n = np.bincount(at, minlength=len(z)).cumsum()[stop:]
+                if n[0] == n[-1]:  # one set whatever the end, as in text with a short period
+                    if v.tobytes() in seen:
+                        continue
+                    seen.add(v.tobytes())
+                    n = n[:1]
                 yield stop, v, at, n
 
-    others = list(opened(y, t))
-    for stop, v, at, n in opened(x, s):
-        for stop2, v2, at2, n2 in others:
+    ready = list(opened(y, t, others))
+    for stop, v, at, n in opened(x, s, begins):
+        for stop2, v2, at2, n2 in ready:
             same, i, j = np.intersect1d(v, v2, assume_unique=True, return_indices=True)
             if len(same) < similarity * max(n[0], n2[0]) - 1e-9:
                 continue
@@ -357,12 +400,13 @@ def _compare(least, similarity, enough):
         x = [np.frombuffer(r[4], np.uint32) for r in rows]
         need = np.array([_least_matches(v, r[3], least, similarity) for v, r in zip(x, rows)])
         others = [set(r[5]) for r in rows]
-        i, j = _candidates([np.unique(v) for v in x], label, need)
+        sets = [np.unique(v) for v in x]
+        i, j = _candidates(sets, label, need)
         for low in range(0, len(i), 4096):
             p, q = i[low : low + 4096], j[low : low + 4096]
             apart = label[p] != label[q]
             for a, b in zip(p[apart].tolist(), q[apart].tolist()):
-                if label[a] != label[b] and (enough < 2 or len(others[a] & others[b]) >= enough - 1) and _similar_around(x[a], rows[a][3], x[b], rows[b][3], least, similarity):
+                if label[a] != label[b] and (enough < 2 or len(others[a] & others[b]) >= enough - 1) and _similar_around(x[a], rows[a][3], x[b], rows[b][3], least, similarity, sets[a], sets[b]):
                     out.append((rows[a][1], rows[b][1]))
                     label[label == label[b]] = label[a]
         return out
@@ -399,7 +443,7 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     reach = reach_of(least, similarity)
     given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("node"), F.col(text).cast("binary").alias("body"))
-    found = given.mapInArrow(_find(least, hashes, reach), "node bigint, key bigint, middle bigint")
+    found = cut(given.mapInArrow(_find(least, hashes, reach), "node bigint, key bigint, middle bigint"), "windows")
     counts = found.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
     shared = cut(found.join(counts, "key"), "shared")
     lows = shared.groupBy("key", "middle").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -409,7 +453,7 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     mixed = classed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key")
     asked = cut(classed.join(mixed, "key").groupBy("node", "class").agg(F.collect_list("key").alias("asked")), "asked")
     kind = "key bigint, node bigint, at int, piece binary, others array<int>"
-    pieces = given.join(asked.select("node", "asked"), "node").select("node", "body", "asked").mapInArrow(_intervals(least, hashes, reach), kind)
+    pieces = given.join(asked.select("node", "asked"), "node").select("node", "body", "asked").mapInArrow(_intervals(least, hashes, reach, enough), kind)
     # Copies have equal intervals: one of each class stands for them.
     pieces = pieces.join(asked.select("node", "class"), "node").groupBy("key", "class", "at", "piece", "others").agg(F.min("node").alias("node"))
     pieces = cut(pieces, "intervals")
