@@ -176,7 +176,8 @@ def _intervals(least, hashes, reach, enough):
     """For texts and the min-hashes asked for: their windows as intervals, and the others asked for that they meet there.
 
     ``piece`` holds the shingles of the interval (32 bits each, no zeros), at most ``reach`` on either side of its
-    minimum, which is number ``at``. Windows of two hash functions meet if a passage holds both minima.
+    minimum, which is number ``at``. Windows of two hash functions meet if a passage holds both minima; later
+    hash functions are looked at only.
     """
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), _INTERVAL.values())], list(_INTERVAL))
@@ -199,7 +200,7 @@ def _intervals(least, hashes, reach, enough):
                     hit = range(len(c))
                     others = [[] for _ in hit]
                     for g, (c2, l2, r2, _, short, _) in enumerate(every):
-                        if g == f or not len(c):
+                        if g <= f or not len(c):  # passages with enough in common are met under the first hash function they share
                             continue
                         first = np.searchsorted(c2, low).tolist()
                         last = np.searchsorted(c2, high, side="right").tolist()
@@ -333,9 +334,9 @@ def _similar_sets(x: np.ndarray, y: np.ndarray, s: int, t: int, least: int, simi
     return False
 
 
-def _least_matches(x: np.ndarray, s: int, least: int, similarity: float) -> int:
+def _least_matches(x: np.ndarray, kinds: int, s: int, least: int, similarity: float) -> int:
     """Matches that any similar passage around number s of a row has at least."""
-    fewest = least if len(np.unique(x)) == len(x) else min((len(np.unique(x[b : b + least])) for b in range(max(0, s - least + 1), min(s, len(x) - least) + 1)), default=least)
+    fewest = least if kinds == len(x) else min((len(np.unique(x[b : b + least])) for b in range(max(0, s - least + 1), min(s, len(x) - least) + 1)), default=least)
     return int(np.ceil(similarity * fewest - 1e-9))
 
 
@@ -398,9 +399,9 @@ def _compare(least, similarity, enough):
         if not label.any():
             return out
         x = [np.frombuffer(r[4], np.uint32) for r in rows]
-        need = np.array([_least_matches(v, r[3], least, similarity) for v, r in zip(x, rows)])
-        others = [set(r[5]) for r in rows]
         sets = [np.unique(v) for v in x]
+        need = np.array([_least_matches(v, len(u), r[3], least, similarity) for v, u, r in zip(x, sets, rows)])
+        others = [set(r[5]) for r in rows]
         i, j = _candidates(sets, label, need)
         for low in range(0, len(i), 4096):
             p, q = i[low : low + 4096], j[low : low + 4096]

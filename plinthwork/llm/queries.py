@@ -11,10 +11,12 @@ from plinthwork.llm import chat, media, mixing, passages, pieces, repeats, simha
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of all documents with the smallest id of the group; ties, nulls and repeats as in :func:`simhash.simhash_components`."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all texts stored as images and read back; a null text is an empty one, repeated rows stay."""
     read = media.read_media(media.store_texts(table(spark, sf_dir, "documents")))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
@@ -25,15 +27,18 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.9; unusable vectors stand alone."""
     return vectors.vector_components(table(spark, sf_dir, "embeddings"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; labels of held-out rows are never read."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and one with control strings, read back from their formatted form."""
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -41,18 +46,22 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; a null text has none, a null source comes last."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by near-duplicate passages; texts too short for one stand alone."""
     return passages.passage_components(table(spark, sf_dir, "documents"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of token ids and of the text decoded from them; a null text is an empty one."""
     return pieces.encode_documents(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of all pages by the longest rule or else the trees; a null URL has an empty host and path."""
     return urls.judge(table(spark, sf_dir, "pages"))
 
 

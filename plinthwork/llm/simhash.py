@@ -144,8 +144,8 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, radius: int, keep: tuple[s
     printed = cut(fingerprints(docs, text, (doc_id, *keep)), "fingerprints")
     fps = printed.groupBy("fp").agg(F.min(doc_id).alias("low"))
     parts = connected_components(links(fps.select("fp"), radius))
-    labelled = fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("label"))
-    lows = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+    labelled = cut(fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("label")), "labels")
+    lows = cut(labelled.groupBy("label").agg(F.min("low").alias("component_id")), "lows")  # written: the join on a hot label can be split
     return printed.join(labelled.join(lows, "label").select("fp", "label", "component_id"), "fp")
 
 

@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     read = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").where("__text is not null")
     # One text of each lowest shingle: copies of one toxic text must not make its other words look toxic.
     lowest = read.select("__text", "__y").mapInArrow(_lowest, "low bigint, __text string, __y int")
-    sample = cut(lowest.dropDuplicates(["low"]).select("__text", "__y"), "toxic-sample")
+    sample = cut(lowest.groupBy("low").agg(F.min(F.struct("__text", "__y")).alias("w")).select("w.*"), "toxic-sample")
     counts = {r["__y"]: r["n"] for r in sample.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return Grammar(prior)
@@ -214,7 +214,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, *keep, held_out, score, predicted`` for each row; a null text scores as an empty one."""
+    """``doc_id, *keep, held_out, score, predicted`` for each row; a null text scores as an empty one.
+
+    Equal texts have equal scores, so repeated rows stay and agree. A null id is held out. No rows: no rows.
+    """
     lexicon, weights = grammar.lexicon, grammar.weights  # at most FIT_WORDS entries
     made: list[Grammar] = []
 

@@ -157,7 +157,8 @@ def vector_components(vectors: DataFrame, vec_id: str = "vec_id", embedding: str
     # Copies of one vector link with each other; a vector that links with nothing has no row in hashed.
     named = hashed.select("node", "copies").join(kinds.select("node", "low"), "node").join(counts, "node", "left").join(parts, "node", "left")
     named = named.select("node", "low", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("label"))
-    lows = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    named = cut(named, "labels")
+    lows = cut(named.groupBy("label").agg(F.min("low").alias("component_id")), "lows")  # written: the join on a hot label can be split
     linked = named.join(lows, "label").select("node", "n", "component_id")
     keyed = base.select("id", F.when(F.col("id").isNotNull(), F.xxhash64("v")).alias("node"))
     out = keyed.join(linked, "node", "left").select(F.col("id").alias(vec_id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
