@@ -22,13 +22,21 @@ def trigrams(x) -> Column:
     return F.array_distinct(F.flatten(pieces))
 
 
-def _jaccard(a: Column, b: Column) -> Column:
+def jaccard(a, b) -> Column:
+    """Jaccard similarity of two arrays of distinct values; 0 for two empty ones."""
+    a, b = as_col(a), as_col(b)
     both = F.size(F.array_intersect(a, b))
     return F.coalesce(both / F.nullif(F.size(a) + F.size(b) - both, F.lit(0)), F.lit(0.0))
 
 
+def overlap(a, b) -> Column:
+    """Shared values over those of the shorter array."""
+    a, b = as_col(a), as_col(b)
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.least(F.size(a), F.size(b)), F.lit(0)), F.lit(0.0))
+
+
 def trigram_similarity(a, b) -> Column:
-    return _jaccard(trigrams(a), trigrams(b))
+    return jaccard(trigrams(a), trigrams(b))
 
 
 def bigrams(x) -> Column:
@@ -38,13 +46,12 @@ def bigrams(x) -> Column:
 
 
 def bigram_jaccard(a, b) -> Column:
-    return _jaccard(bigrams(a), bigrams(b))
+    return jaccard(bigrams(a), bigrams(b))
 
 
 def token_overlap(a, b) -> Column:
     """Shared words over the words of the shorter side."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.least(F.size(x), F.size(y)), F.lit(0)), F.lit(0.0))
+    return overlap(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))
 
 
 def jaro_winkler(a: str, b: str, weight: float = 0.1) -> float:

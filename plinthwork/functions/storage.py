@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="plinthwork-")
     return _own[app]

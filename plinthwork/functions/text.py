@@ -71,17 +71,33 @@ def collapsed(x) -> Column:
     return F.regexp_replace(as_col(x), r"\s+", "")
 
 
-STEMS = (("ations", 3), ("ation", 3), ("ments", 3), ("ment", 3), ("ings", 3), ("ing", 3), ("ers", 3), ("er", 3), ("ies", 3), ("es", 3), ("s", 3))
+# Endings and what replaces them, in the order in which they are tried.
+STEM_RULES = (
+    ("ations", "at"),
+    ("ation", "at"),
+    ("tions", "t"),
+    ("tion", "t"),
+    ("ments", ""),
+    ("ment", ""),
+    ("ings", ""),
+    ("ing", ""),
+    ("ies", "y"),
+    ("ers", ""),
+    ("ors", ""),
+    ("es", ""),
+    ("s", ""),
+)
 
 
 def stemmed(x) -> Column:
-    """Words over three characters without their first fitting ending, if three characters stay."""
+    """Words over three characters with the first ending that leaves three or more replaced."""
 
     def stem(t):
-        out = t
-        for end, least in reversed(STEMS):
-            out = F.when((F.length(t) > 3) & F.endswith(t, F.lit(end)) & (F.length(t) - len(end) >= least), F.substring(t, F.lit(1), F.length(t) - len(end))).otherwise(out)
-        return out
+        fits = [(F.endswith(t, F.lit(end)) & (F.length(t) >= 3 + len(end) - len(put)), F.concat(F.substring(t, F.lit(1), F.length(t) - len(end)), F.lit(put))) for end, put in STEM_RULES]
+        out = F.when(F.length(t) <= 3, t)
+        for fit, put in fits:
+            out = out.when(fit, put)
+        return out.otherwise(t)
 
     return F.array_join(F.transform(tokens(x), stem), " ")
 
@@ -90,6 +106,7 @@ def name_slug(x) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(ascii_fold(F.coalesce(as_col(x), F.lit("")))), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+# Words that give an acronym no letter.
 ACRONYM_STOP = "the of and a an in for at by to or on with as llc inc corp ltd lp llp co pc pa pllc".split()
 
 

@@ -191,7 +191,8 @@ def two_hop(spark, d):
     """Suppliers linked only through a third, over pairs that share a fifth more parts than pairs do on average."""
     pairs = cut(st.interlocks(table(spark, d, "lineitem"), "l_suppkey", "l_partkey"), "interlocks")  # read several times
     usual = pairs.agg((F.sum("shared") / F.count(F.lit(1))).alias("usual"))
-    return st.two_hops(pairs.join(F.broadcast(usual)).where(F.col("shared") > F.col("usual") * 1.2))
+    near = pairs.join(F.broadcast(usual)).where(F.col("shared") > F.col("usual") * 1.2).select("a", "b")
+    return st.two_hops(cut(near, "near"))
 
 
 PAIRS = "e AS (SELECT DISTINCT l_suppkey s, l_partkey p FROM lineitem), i AS (SELECT x.s a, y.s b, count(*) shared FROM e x JOIN e y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2)"

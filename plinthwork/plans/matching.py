@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plinthwork.functions import similarity as sim
 from plinthwork.functions import text as tx
 from plinthwork.functions.numbers import rounded
-from plinthwork.functions.storage import table
+from plinthwork.functions.storage import cut, table
 from plinthwork.operators import matching as m
 from plinthwork.operators import relational as rel
 from plinthwork.plans.scorecards import R
@@ -150,31 +150,59 @@ SOURCES = r"""s AS (SELECT s_suppkey id, CASE s_suppkey % 6 WHEN 0 THEN upper(na
 
 
 def match_cascade(spark, d):
-    out = m.match_cascade(m.with_keys(_sources(spark, d)), m.with_keys(_targets(spark, d)))
+    """The cascade's exact and derived-key tiers."""
+    tiers = [t for t in m.TIERS if t[0] != "PHONETIC_STATE"]
+    out = m.match_cascade(m.with_keys(_sources(spark, d)), m.with_keys(_targets(spark, d)), tiers)
     return out.select("id", "target_id", "method", F.col("rank").cast("long").alias("rank"), "score", "candidates", "band", "status")
 
 
+# Written out here, not taken from the operator's tables: a wrong value there must show.
+STEM_CASES = [("ations", 6, "at"), ("ation", 5, "at"), ("tions", 5, "t"), ("tion", 4, "t"), ("ments", 5, ""), ("ment", 4, ""), ("ings", 4, ""), ("ing", 3, ""), ("ies", 3, "y"), ("ers", 3, ""), ("ors", 3, ""), ("es", 2, ""), ("s", 1, "")]
+
+
 def _stem_sql(x):
-    cases = " ".join(f"WHEN length(t) > 3 AND suffix(t, '{e}') AND length(t) - {len(e)} >= {n} THEN substr(t, 1, length(t) - {len(e)})" for e, n in tx.STEMS)
-    return f"array_to_string(list_transform({_words_sql(x)}, lambda t: CASE {cases} ELSE t END), ' ')"
+    cases = " ".join(f"WHEN suffix(t, '{e}') AND length(t) - {n} + {len(p)} >= 3 THEN substr(t, 1, length(t) - {n}) || '{p}'" for e, n, p in STEM_CASES)
+    return f"array_to_string(list_transform({_words_sql(x)}, lambda t: CASE WHEN length(t) <= 3 THEN t {cases} ELSE t END), ' ')"
+
+
+def name_stems(spark, d):
+    """Stems of the words of part names and of words that each rule meets."""
+    words = "communications production industries directors center manufacturing equipments fundings workers boxes gas ations bees".split()
+    names = table(spark, d, "part").select(F.lower("p_name").alias("name")).distinct()
+    return names.unionByName(names.select(F.concat_ws(" ", F.col("name"), *[F.lit(w) for w in words]).alias("name"))).select("name", tx.stemmed("name").alias("stems"))
+
+
+STEMMED = f"WITH n AS (SELECT DISTINCT lower(p_name) AS name FROM part), m AS (SELECT name FROM n UNION ALL SELECT name || ' communications production industries directors center manufacturing equipments fundings workers boxes gas ations bees' FROM n) SELECT name, {_stem_sql('name')} stems FROM m"
 
 
 def _keys_sql(x):
-    return f"""(SELECT *, nullif(n1, '') name_standard, CASE WHEN length(n2) >= 6 THEN n2 END name_aggressive, nullif(array_to_string(list_sort({_words_sql('n2')}), ' '), '') name_sorted, nullif(replace(n2, ' ', ''), '') name_collapsed, nullif(CASE WHEN regexp_matches(n1, '^\\d+\\s') THEN regexp_replace(n1, '^[\\d\\s]+', '') ELSE n1 END, '') name_stripped, nullif({_stem_sql('n2')}, '') name_stemmed FROM (SELECT *, {std_sql('name')} n1, {agg_sql('name')} n2 FROM {x}))"""
+    return f"""(SELECT *, nullif(n1, '') std, nullif(n2, '') agg, array_to_string(list_sort({_words_sql('n2')}), ' ') srt, replace(n2, ' ', '') col, CASE WHEN bare <> trim(name) AND length(bare) >= 3 THEN nullif({agg_sql('bare')}, '') END strip, {_stem_sql('n2')} stem FROM (SELECT *, {std_sql('name')} n1, {agg_sql('name')} n2, regexp_replace(trim(name), '^\\d+\\s+', '') bare FROM {x}))"""
 
 
-def _tier_sql(tier, rank, score, keys):
-    on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
-    near = "0" if "city" in keys else "count(*) FILTER (t.city = s.city)"
+def _tier_sql(tier, rank, score, on):
+    near = "0" if tier == "NAME_CITY_STATE_EXACT" else "count(*) FILTER (t.city = s.city)"
     return f"SELECT s.id, '{tier}' tier, {rank} AS rank, {score}::DOUBLE base, count(*) candidates, min(t.id) only_id, {near} near, min(t.id) FILTER (t.city = s.city) near_id FROM sk s JOIN tk t ON {on} GROUP BY s.id"
 
 
+_ST, _SIX = "s.state = t.state", "length(s.agg) >= 6"
+CASCADE_TIERS = (
+    ("EIN_EXACT", 100, 1.00, "s.ein = t.ein"), ("NAME_CITY_STATE_EXACT", 90, 0.95, f"s.std = t.std AND s.city = t.city AND {_ST}"), ("NAME_ZIP_STATE", 85, 0.93, f"s.std = t.std AND s.zip = t.zip AND {_ST}"),
+    ("NAME_STATE_EXACT", 80, 0.90, f"s.std = t.std AND {_ST}"), ("NAME_AGGRESSIVE_STATE", 60, 0.75, f"{_SIX} AND s.agg = t.agg AND {_ST}"), ("SORTED_TOKEN_STATE", 57, 0.85, f"{_SIX} AND s.srt <> s.agg AND s.srt = t.srt AND {_ST}"),
+    ("COLLAPSED_SPACING_STATE", 55, 0.82, f"{_SIX} AND contains(s.agg, ' ') AND s.col = t.col AND t.agg IS NOT NULL AND {_ST}"),
+    ("TRUNCATED_NAME_STATE", 54, 0.80, f"{_ST} AND s.agg <> t.agg AND ((length(s.agg) >= 10 AND prefix(t.agg, s.agg)) OR (length(t.agg) >= 10 AND prefix(s.agg, t.agg)))"),
+    ("STRIPPED_LEADING_NUMS_STATE", 53, 0.80, f"s.strip = t.agg AND {_ST}"), ("STEMMED_NAME_STATE", 52, 0.78, f"{_SIX} AND s.stem <> s.agg AND s.stem = t.stem AND t.agg IS NOT NULL AND {_ST}"),
+)
 CASCADE = f"""WITH {TARGETS}, {SOURCES}, sk AS (FROM {_keys_sql('s')}), tk AS (FROM {_keys_sql('t')}),
-h AS ({" UNION ALL ".join(_tier_sql(*t) for t in m.TIERS)}), b AS (SELECT DISTINCT ON (id) *, candidates = 1 one, candidates > 1 AND near = 1 AS city FROM h ORDER BY id, rank DESC),
+h AS ({" UNION ALL ".join(_tier_sql(*t) for t in CASCADE_TIERS)}), b AS (SELECT DISTINCT ON (id) *, candidates = 1 one, candidates > 1 AND near = 1 AS city FROM h ORDER BY id, rank DESC),
 r AS (SELECT id, CASE WHEN one THEN only_id WHEN city THEN near_id END target_id, CASE WHEN one THEN tier WHEN city THEN tier || '_CITY_RESOLVED' ELSE 'AMBIGUOUS_' || tier END "method", rank::BIGINT AS rank, CASE WHEN one OR city THEN base ELSE 0 END::DOUBLE score, candidates FROM b)
 SELECT *, CASE WHEN score >= 0.85 THEN 'HIGH' WHEN score >= 0.70 THEN 'MEDIUM' ELSE 'LOW' END band, CASE WHEN score >= 0.70 THEN 'active' ELSE 'rejected' END status FROM r"""
 
 
+def match_phonetic(spark, d):
+    """The cascade with all tiers, the phonetic one included, which SQL cannot express."""
+    return m.match_cascade(m.with_keys(_sources(spark, d)), m.with_keys(_targets(spark, d))).select("id", "target_id", "method", F.col("rank").cast("long").alias("rank"), "score", "candidates")
+
+
 def _blocks():
     return {"state_first3": F.concat(F.col("state"), F.lit("|"), F.substring("name", 1, 3), (F.col("id") % 11).cast("string")), "zip": F.col("zip"), "naics_city": F.concat("naics", F.lit("|"), F.col("city"), F.lit("|"), "state")}
 
@@ -187,18 +215,20 @@ BLOCKED = f"""{TARGETS}, k AS (SELECT id, 'state_first3' m, state || '|' || subs
 
 
 def pair_features(spark, d):
-    """Features of blocked pairs, their weighted score and its triage."""
+    """Features of blocked pairs, their weighted score and its triage; keys and grams are made once a record."""
     t = _targets(spark, d)
-    sides = [t.select(*[F.col(c).alias(f"{c}_{i}") for c in t.columns]) for i in (1, 2)]
+    grams = {"standard": sim.trigrams(tx.standard_name("name")), "aggressive": sim.trigrams(tx.aggressive_name("name")), "sorted": sim.trigrams(tx.fuzzy_name("name")), "bigrams": sim.bigrams("name"), "words": F.array_distinct(tx.tokens("name"))}
+    records = cut(t.select(*[c for c in t.columns if c != "name"], *[v.alias(k) for k, v in grams.items()]), "records")
+    sides = [records.select(*[F.col(c).alias(f"{c}_{i}") for c in records.columns]) for i in (1, 2)]
     j = m.block_pairs(t, _blocks(), 100).join(sides[0], F.col("a") == F.col("id_1")).join(sides[1], F.col("b") == F.col("id_2"))
     same = lambda a, b: F.coalesce(a == b, F.lit(False)).cast("double")
-    f = {
-        "standard": sim.trigram_similarity(tx.standard_name("name_1"), tx.standard_name("name_2")), "aggressive": sim.trigram_similarity(tx.aggressive_name("name_1"), tx.aggressive_name("name_2")),
-        "sorted": sim.trigram_similarity(tx.fuzzy_name("name_1"), tx.fuzzy_name("name_2")), "bigrams": sim.bigram_jaccard("name_1", "name_2"), "ein": same(F.col("ein_1"), F.col("ein_2")), "zip": same(F.substring("zip_1", 1, 5), F.substring("zip_2", 1, 5)),
-        "city": same(F.col("city_1"), F.col("city_2")), "naics": same(F.substring("naics_1", 1, 2), F.substring("naics_2", 1, 2)), "overlap": sim.token_overlap("name_1", "name_2"), "ein_conflict": F.coalesce(F.col("ein_1") != F.col("ein_2"), F.lit(False)),
+    f = {k: sim.jaccard(f"{k}_1", f"{k}_2") for k in ("standard", "aggressive", "sorted", "bigrams")} | {
+        "ein": same(F.col("ein_1"), F.col("ein_2")), "zip": same(F.substring("zip_1", 1, 5), F.substring("zip_2", 1, 5)), "city": same(F.col("city_1"), F.col("city_2")), "naics": same(F.substring("naics_1", 1, 2), F.substring("naics_2", 1, 2)),
+        "overlap": sim.overlap("words_1", "words_2"), "ein_conflict": F.coalesce(F.col("ein_1") != F.col("ein_2"), F.lit(False)),
     }
-    score = rounded(m.pair_score(f))
-    return j.select("a", "b", rounded(f["standard"]).alias("standard"), rounded(f["bigrams"]).alias("bigrams"), score.alias("score"), m.corroboration(j).alias("corroboration"), F.when(score >= 0.6, "auto_dup").when(score < 0.2, "auto_diff").otherwise("ambiguous").alias("triage"))
+    j = j.select("a", "b", *[c for c in j.columns if c.startswith(("city_", "zip_", "naics_"))], *[v.alias(k) for k, v in f.items()])
+    score = rounded(m.pair_score({k: F.col(k) for k in f}))
+    return j.select("a", "b", rounded("standard").alias("standard"), rounded("bigrams").alias("bigrams"), score.alias("score"), m.corroboration(j).alias("corroboration")).withColumn("triage", F.when(F.col("score") >= 0.6, "auto_dup").when(F.col("score") < 0.2, "auto_diff").otherwise("ambiguous"))
 
 
 def _jac_sql(x, y):
@@ -216,12 +246,14 @@ SELECT a, b, {R("standard")} standard, {R("bigrams")} bigrams, score, (city::INT
 
 
 def rule_tiers(spark, d):
-    """The duplicate rules over each supplier record and its customer, named and tiered."""
+    """The duplicate rules over supplier records and all customers that share a ZIP or an industry and city with them."""
     s, t = _sources(spark, d), _targets(spark, d)
     a, b = (x.select(*[F.col(c).alias(f"{c}_{i}") for c in x.columns]) for i, x in ((1, s), (2, t)))
-    p = a.join(b, F.col("id_1") == F.col("id_2")).withColumn("source_1", F.lit("supplier")).withColumn("source_2", F.lit("customer"))
+    keys = [(F.col("zip_1"), F.col("zip_2")), (F.concat_ws("|", "naics_1", "city_1", "state_1"), F.concat_ws("|", "naics_2", "city_2", "state_2"))]
+    met = [a.withColumn("key", x).join(b.withColumn("key", y), "key").drop("key") for x, y in keys]
+    p = met[0].unionByName(met[1]).distinct().withColumn("source_1", F.lit("supplier")).withColumn("source_2", F.lit("customer"))
     sims = F.greatest(sim.trigram_similarity(tx.standard_name("name_1"), tx.standard_name("name_2")), sim.trigram_similarity(tx.aggressive_name("name_1"), tx.aggressive_name("name_2")))
-    return m.classify_pairs(p.withColumn("sim", sims)).select("id_1", "name_1", "name_2", "tier", "rule")
+    return m.classify_pairs(p.withColumn("sim", sims)).select("id_1", "id_2", "name_1", "name_2", "tier", "rule")
 
 
 def dedup_components(spark, d):
@@ -280,11 +312,12 @@ SQL = {
     "jaro_winkler_pairs": f"WITH {PAIRS} SELECT a, b, {R('jaro_winkler_similarity(a, b)')} jaro_winkler, levenshtein(a, b) edits FROM p",
     "bigram_jaccard": BIGRAM,
     "match_cascade": CASCADE,
+    "name_stems": STEMMED,
     "blocking_pairs": f"WITH {BLOCKED} FROM bp",
     "pair_features": FEATURES,
     "dedup_components": COMPONENTS,
     "canonical_groups": GROUPS,
     "ensemble_vote": VOTE,
 }
-ROWS_ONLY = (indel_token_ratios, sequence_matcher, phonetic_keys, rule_tiers, fuzzy_match)
+ROWS_ONLY = (match_phonetic, indel_token_ratios, sequence_matcher, phonetic_keys, rule_tiers, fuzzy_match)
 QUERIES = {name: globals()[name] for name in SQL} | {f.__name__: f for f in ROWS_ONLY}
