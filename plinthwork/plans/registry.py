@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import analytics, matching, relational, rollups, scorecards, textual
+from plinthwork.plans import analytics, contracts, matching, relational, rollups, scorecards, signals, textual
 
-PACKS = [scorecards, relational, matching, analytics, textual, rollups]
+PACKS = [scorecards, relational, matching, analytics, textual, rollups, signals, contracts]
 
 
 def queries() -> dict:
