@@ -14,12 +14,12 @@ from plinthwork.plans.scorecards import R
 
 #: Contract texts with what they hold, written out: text, employer, union, local, years, holidays, stays, words, wage table.
 TEXTS = (
-    ("Agreement by and between Acme Steel and Teamsters Local 705, a 3-year agreement.", "Acme Steel", "Teamsters Local 705", "705", 3, 0, True, 12, False),
-    ("made between United Workers Local No. 12 and Blue River Foods, for a 12 year term", "Blue River Foods", "United Workers Local No. 12", "12", None, 0, True, 15, False),
+    ("Agreement by and between Acme Steel and Teamsters Local 705, a 3-year agreement.", "Acme Steel", "Teamsters Local 705", "705", 3, 0, True, 13, False),
+    ("made between United Workers Local No. 12 and Blue River Foods, for a 12 year term", "Blue River Foods", "United Workers Local No. 12", "12", None, 0, True, 16, False),
     ("Holidays: New Year, Memorial Day, July 4, Labor Day, Thanksgiving, Christmas and 2 floating holidays.", None, None, None, None, 8, True, 15, False),
     ("Article 1 Wages ........ 4", None, None, None, None, 0, False, 5, False),
     ("Overtime 12, 34, 56", None, None, None, None, 0, False, 4, False),
-    ("Step 1 $12.50 Step 2 $13.75 Step 3 $14,00 an hour; 5 year contract", None, None, None, 5, 0, True, 13, True),
+    ("Step 1 $12.50 Step 2 $13.75 Step 3 $14,00 an hour; 5 year contract", None, None, None, 5, 0, True, 14, True),
     ("", None, None, None, None, 0, True, 0, False),
 )
 
