@@ -279,3 +279,35 @@ def test_vectors_against_all_pairs(spark):
     kept = {r.vec_id: r.component_id for r in got}
     assert kept[240] == kept[241] == 3 and kept[406] == 405 and kept[401] == 401 and len(got) == len(rows)
     assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+
+
+def brute_similar(a, b, least=passages.LEAST, similarity=passages.SIMILARITY):
+    """Whether two texts hold similar passages, by all common shingles and all passages around them."""
+    x, y = ((passages.shingles(t.encode()) >> np.uint64(32)).astype(np.uint32) | np.uint32(1) for t in (a, b))
+    reach = passages.reach_of(least, similarity)
+    where = {v: j for j, v in enumerate(y.tolist())}
+    for i, v in enumerate(x.tolist()):
+        if (j := where.get(v)) is not None and i % 5 == 0:  # a passage of 46 shingles holds such a place
+            p, q = max(0, i - reach), max(0, j - reach)
+            if passages._similar_around(x[p : i + reach + 1], i - p, y[q : j + reach + 1], j - q, least, similarity):
+                return True
+    return False
+
+
+def test_recall_of_near_duplicate_passages_against_brute_force(spark):
+    rng, rows, truth = random.Random(31), [], []
+    for k in range(150):
+        words = prose(rng, rng.randint(55, 130)).split()
+        other = list(words)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randrange(len(other))
+            other[at : at + rng.randint(0, 2)] = prose(rng, rng.randint(0, 2)).split()
+        a, b = (prose(rng, rng.randint(20, 60)) + " " + " ".join(w) + " " + prose(rng, rng.randint(20, 60)) for w in (words, other))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        truth.append(brute_similar(a, b))
+    got = {r.doc_id: r.component_id for r in passages.passage_components(frame(spark, rows)).collect()}
+    linked = [got[2 * k + 1] == 2 * k for k in range(150)]
+    assert not any(x and not t for x, t in zip(linked, truth))  # none below the threshold
+    recall = sum(linked) / sum(truth)
+    print(f"recall {recall:.3f} of {sum(truth)}")
+    assert sum(truth) >= 60 and recall >= 0.9
