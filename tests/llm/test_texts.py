@@ -310,3 +310,19 @@ def test_all_queries_run(spark):
     for name, query in queries.queries().items():
         if name != "pipeline":
             assert query(spark, SF).count() > 0, name
+
+
+def test_pipeline_stages_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    """Every stage keeps what it should of odd rows, takes an empty table, and returns the columns it was given."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, body string, node string, fp string, `row` string"
+    text = " ".join(f"word{i % 97}x{i}" for i in range(300))
+    odd = [(1, None, None, None, None, "a", "b", "c", "d"), (2, "", "en", "s", 0, None, None, None, None), (None, text, "en", None, 9, "a", "b", "c", "d"), (4, text, "en", "s", 9, "a", "b", "c", "d"), (4, text, "en", "s", 9, "a", "b", "c", "d"), (5, "x" * 200_000, "en", "t", 9, "a", "b", "c", "d"), (6, "short and clean text", "de", "t", 9, "a", "b", "c", "d")]
+    spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, kind)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = cut(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+            assert docs.columns == [c.split()[0].strip("`") for c in kind.split(", ")], name
+            kept = docs.count()
+            assert (kept > 0) == (len(rows) > 0), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == kept
