@@ -32,9 +32,12 @@ def clean_names(names: list[str]) -> list[str]:
     return out
 
 
-def text_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """Delimited text with a header, all columns strings; compressed files by their ending."""
-    df = spark.read.options(header=True, inferSchema=False, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=False).csv(path)
+def text_table(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multiline: bool = False) -> DataFrame:
+    """Delimited text with a header, all columns strings; compressed files by their ending.
+
+    ``multiline``: quoted values may hold line ends; then a file is one task's work.
+    """
+    df = spark.read.options(header=True, inferSchema=False, sep=sep, encoding=encoding, quote='"', escape='"', multiLine=multiline).csv(path)
     header = spark.read.option("encoding", encoding).text(path).first()  # Spark itself would number repeated names
     return df.toDF(*clean_names(next(csv.reader([header[0]], delimiter=sep)) if header else []))
 
@@ -105,7 +108,10 @@ def _cells(content: bytes, sheet: int):
 
 
 def workbook(spark: SparkSession, path: str, columns: list[str], sheet: int = 1, look: int = 20) -> DataFrame:
-    """Rows under the header of a workbook's sheet, as strings; the header is the first row with all the columns."""
+    """Rows under the header of a workbook's sheet, as strings; the header is the first row with all the columns.
+
+    A workbook without one in its first ``look`` rows is an error, as it would vanish otherwise.
+    """
 
     def run(batches):
         for pdf in batches:
@@ -116,9 +122,10 @@ def workbook(spark: SparkSession, path: str, columns: list[str], sheet: int = 1,
                     if set(columns) <= set(names):
                         found = i, names
                         break
-                if found:
-                    body = [dict(zip(found[1], row)) for row in rows[found[0] + 1 :] if any(row)]
-                    yield pd.DataFrame([[r.get(c) for c in columns] for r in body], columns=columns, dtype=object)
+                if not found:
+                    raise ValueError(f"no header with {columns} in the first {look} rows")
+                body = [dict(zip(found[1], row)) for row in rows[found[0] + 1 :] if any(row)]
+                yield pd.DataFrame([[r.get(c) for c in columns] for r in body], columns=columns, dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns))
 

@@ -1,4 +1,4 @@
-"""Sinks: versioned snapshots with a pointer that is swapped last, upserts, match logs, exports."""
+"""Sinks: versioned snapshots with a pointer that is added last, upserts, match logs, exports."""
 
 from __future__ import annotations
 
@@ -27,17 +27,26 @@ def publish(df: DataFrame, root: str, guard=None) -> str:
     if guard:
         guard(spark.read.parquet(f"{root}/{version}"))
     fs, Path = _fs(spark, root)
-    out = fs.create(Path(f"{root}/CURRENT.new"), True)
-    out.write(bytearray(version.encode()))
+    last = max(_pointers(spark, root), default=0)
+    out = fs.create(Path(f"{root}/CURRENT/{last + 1:012d}.{version}"), False)
     out.close()
-    fs.delete(Path(f"{root}/CURRENT"), False)
-    fs.rename(Path(f"{root}/CURRENT.new"), Path(f"{root}/CURRENT"))
     return version
 
 
+def _pointers(spark: SparkSession, root: str) -> dict[int, str]:
+    """Numbered pointers: each is an empty file that names its version, so none is ever without a successor."""
+    fs, Path = _fs(spark, root)
+    if not fs.exists(Path(f"{root}/CURRENT")):
+        return {}
+    names = [str(f.getPath().getName()) for f in fs.listStatus(Path(f"{root}/CURRENT"))]
+    return {int(n.split(".", 1)[0]): n.split(".", 1)[1] for n in names}
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{version}")
+    pointers = _pointers(spark, root)
+    if not pointers:
+        raise FileNotFoundError(f"nothing is published at {root}")
+    return spark.read.parquet(f"{root}/{pointers[max(pointers)]}")
 
 
 def merge(change: DataFrame, root: str, keys: list[str], newest: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plinthwork.functions import numbers as nm
 from plinthwork.functions import similarity as sim
+from plinthwork.functions import storage
 from plinthwork.functions import text as tx
 from plinthwork.operators import matching as m
 from plinthwork.operators import relational as rel
@@ -87,7 +88,7 @@ def test_match_cascade(spark):
     targets = people(spark, [("F1", "Acme Holdings", None, "LOS ANGELES", "90001", "CA"), ("F2", "Acme Logistics", "12", "SAN DIEGO", "92101", "CA"), ("F3", "Blue River Foods", None, "RENO", "89501", "NV"), ("F4", "Blue River Foods", None, "ELKO", "89801", "NV")])
     sources = people(spark, [("s1", "Totally Other", "12", None, None, "TX"), ("s2", "ACME HOLDINGS!", None, "LOS ANGELES", None, "CA"), ("s3", "Blue River Foods", None, None, None, "NV"), ("s4", "Blue River Foods", None, "ELKO", None, "NV"), ("s5", "BlueRiver Foods Inc", None, "ELKO", None, "NV"), ("s6", "None Such", None, None, None, "NV")])
     got = {r.id: (r.target_id, r.method, r.band, r.candidates) for r in m.match_cascade(sources, targets).collect()}
-    assert got == {"s1": ("F2", "EIN_EXACT", "HIGH", 1), "s2": ("F1", "NAME_CITY_STATE_EXACT", "HIGH", 1), "s3": (None, "AMBIGUOUS_NAME_STATE_EXACT", "LOW", 2), "s4": ("F4", "NAME_CITY_STATE_EXACT", "HIGH", 1), "s5": ("F4", "COLLAPSED_SPACING_CITY_RESOLVED", "MEDIUM", 2)}
+    assert got == {"s1": ("F2", "EIN_EXACT", "HIGH", 1), "s2": ("F1", "NAME_CITY_STATE_EXACT", "HIGH", 1), "s3": (None, "AMBIGUOUS_NAME_STATE_EXACT", "LOW", 2), "s4": ("F4", "NAME_CITY_STATE_EXACT", "HIGH", 1), "s5": ("F4", "COLLAPSED_SPACING_STATE_CITY_RESOLVED", "MEDIUM", 2)}
 
 
 PAIR = "name_1 string, name_2 string, source_1 string, source_2 string, zip_1 string, zip_2 string, city_1 string, city_2 string, ein_1 string, ein_2 string, sim double"
@@ -210,3 +211,33 @@ def test_snapshots_and_streams(spark, tmp_path):
     w = delta.windowed(delta.events(spark, data), "1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == base.count()
+
+
+def test_stems_follow_their_rules_in_order(spark):
+    pairs = {"communications": "communicat", "production": "product", "industries": "industry", "directors": "direct", "center": "center", "manufacturing": "manufactur", "gas": "gas", "bees": "bee", "workers": "work", "boxes": "box"}
+    got = spark.createDataFrame([(w,) for w in pairs], "w string").select("w", tx.stemmed("w").alias("s")).collect()
+    assert {r.w: r.s for r in got} == pairs
+
+
+def test_cascade_tiers(spark):
+    """Cut-off and misspelled names, guards on short names, ties resolved by city."""
+    kind = "id long, name string, ein string, city string, zip string, state string"
+    targets = [(1, "Northern Lights Bakery", None, "a", None, "X"), (2, "Jonson Plumbing Supply", None, "a", None, "X"), (3, "Ab Cd", None, "a", None, "X"), (4, "Twin Rivers Mill", None, "a", None, "X"), (5, "Twin Rivers Mill", None, "b", None, "X")]
+    sources = [(10, "Northern Lights Bak", None, None, None, "X"), (11, "Johnson Plumbing Supply", None, None, None, "X"), (12, "Cd Ab", None, None, None, "X"), (13, "Twin Rivers Mill", None, "b", None, "X"), (14, "Twin Rivers Mill", None, None, None, "X"), (15, "Mill Twin Rivers", None, "a", None, "X")]
+    got = m.match_cascade(*(m.with_keys(spark.createDataFrame(x, kind)) for x in (sources, targets)))
+    assert {r.id: (r.target_id, r.method) for r in got.collect()} == {10: (1, "TRUNCATED_NAME_STATE"), 11: (2, "PHONETIC_STATE"), 13: (5, "NAME_CITY_STATE_EXACT"), 14: (None, "AMBIGUOUS_NAME_STATE_EXACT"), 15: (4, "SORTED_TOKEN_STATE_CITY_RESOLVED")}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda *_: None)
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(N(sparkContext=N(getConf=lambda: conf, applicationId="a", master="spark://x"), conf=conf))
+
+
+def test_quoted_line_ends_and_missing_headers(spark, tmp_path):
+    (tmp_path / "m.csv").write_text('a,b\n"x\ny",1\n')
+    assert readers.text_table(spark, str(tmp_path / "m.csv"), multiline=True).first().a == "x\ny"
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, str(tmp_path / "none"))
