@@ -51,21 +51,21 @@ JACCARD = f"""WITH {MIX}, t AS (SELECT l_suppkey s, sum(q) t FROM v GROUP BY 1),
 SELECT a, b, {R("p.s::DOUBLE / (i.t + j.t - p.s)::DOUBLE")} jaccard FROM p JOIN t i ON a = i.s JOIN t j ON b = j.s"""
 
 
-def _queries(spark, d):
-    """A stated query set: every twentieth vector, against all."""
+def _nearest(spark, d, k):
+    """A stated query set, every twentieth vector, against all."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("truth"), F.col("embedding").alias("q"))
-    return e.join(q, F.col("vec_id") != F.col("query")).select("query", "truth", "vec_id", "label", rounded(st.cosine("embedding", "q"), 6).alias("cosine"))
+    return st.nearest_vectors(q, e.select("vec_id", "label", "embedding"), k)
 
 
 def embed_topk(spark, d):
     """Ten nearest vectors of each query vector by exact cosine."""
-    return rel.top_k_by(_queries(spark, d), ["query"], [F.desc("cosine"), F.asc("vec_id")], 10, "place").select("query", "vec_id", "cosine", F.col("place").cast("long").alias("place"))
+    return _nearest(spark, d, 10).select("query", "vec_id", "cosine", F.col("place").cast("long").alias("place"))
 
 
 def embed_knn_vote(spark, d):
     """Label by the summed similarity of seven neighbours, with its share as confidence."""
-    k = rel.top_k_by(_queries(spark, d), ["query"], [F.desc("cosine"), F.asc("vec_id")], 7)
+    k = _nearest(spark, d, 7)
     v = k.groupBy("query", "truth", "label").agg(F.sum(F.col("cosine").cast("decimal(18,6)")).alias("s"))
     v = v.withColumn("share", F.col("s").cast("double") / F.sum("s").over(Window.partitionBy("query")).cast("double"))
     best = rel.first_by(v, ["query"], [F.desc("s"), F.asc("label")])
