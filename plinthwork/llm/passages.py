@@ -155,8 +155,7 @@ def _find(least, hashes, reach):
                     middle = rolled[np.clip(c - least // 2, l, r - least + 1)].view(np.int64)  # LEAST shingles around c, in its window
                     own = text[np.searchsorted(begins, c, side="right") - 1]
                     seen = np.column_stack((own, _keys(x, c, f), middle))
-                    order = np.lexsort(seen.T)
-                    seen = seen[order]
+                    seen = seen[np.argsort(_mixed(_mixed(seen[:, 1].view(np.uint64) ^ seen[:, 2].view(np.uint64) * _MIX[3], 1) + seen[:, 0].astype(np.uint64), 2))]
                     rows.append(seen[np.concatenate(([True], (seen[1:] != seen[:-1]).any(axis=1)))] if len(seen) else seen)
                 rows = np.concatenate(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows[:, 0]], pa.int64()), pa.array(rows[:, 1], pa.int64()), pa.array(rows[:, 2], pa.int64())], ["node", "key", "middle"])
@@ -184,7 +183,10 @@ def _intervals(least, hashes, reach, enough):
 
     def run(batches):
         for batch in batches:
-            ids, asked = batch.column(0).to_pylist(), [set(a) for a in batch.column(2).to_pylist()]
+            ids, lists = batch.column(0).to_pylist(), batch.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            kinds = np.unique(flat)
+            asked = np.unique(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)) * len(kinds) + np.searchsorted(kinds, flat))
             for x, text, begins, ends in _laid_out(batch.column(1).to_pylist(), least, reach):
                 near = (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 every = []
@@ -192,30 +194,30 @@ def _intervals(least, hashes, reach, enough):
                     c, l, r = _windows(x, begins, ends, f, least)
                     key = _keys(x, c, f)
                     own = text[np.searchsorted(begins, c, side="right") - 1]
-                    hit = [k for k, (o, y) in enumerate(zip(own.tolist(), key.tolist())) if y in asked[o]]
+                    code = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
+                    pair = own * len(kinds) + code
+                    hit = np.flatnonzero((kinds[code] == key) & (asked[np.minimum(np.searchsorted(asked, pair), len(asked) - 1)] == pair))
                     every.append((c[hit], l[hit], r[hit], key[hit], (key[hit] >> np.int64(32)).astype(np.int32), own[hit]))
                 out, seen = [], set()
                 for f, (c, l, r, key, _, own) in enumerate(every):
                     low, high = np.maximum(l, c - reach), np.minimum(r, c + reach)
-                    hit = range(len(c))
-                    others = [[] for _ in hit]
-                    for g, (c2, l2, r2, _, short, _) in enumerate(every):
-                        if g <= f or not len(c):  # passages with enough in common are met under the first hash function they share
-                            continue
-                        first = np.searchsorted(c2, low).tolist()
-                        last = np.searchsorted(c2, high, side="right").tolist()
-                        for j, (k, a, b) in enumerate(zip(hit, first, last)):
-                            m = c[k]
-                            ok = (l2[a:b] <= m) & (r2[a:b] >= m) & (np.minimum(r2[a:b], r[k]) - np.maximum(l2[a:b], l[k]) >= least - 1)
-                            others[j] += short[a:b][ok].tolist()
-                    for k, more in zip(hit, others):
-                        if len(more) < enough - 1:
-                            continue
+                    met = [np.zeros(0, np.int64)]
+                    for c2, l2, r2, _, short, _ in every[f + 1 :]:  # passages with enough in common are met under the first hash function they share
+                        first = np.searchsorted(c2, low)
+                        n = np.searchsorted(c2, high, side="right") - first
+                        k = np.repeat(np.arange(len(c)), n)
+                        j = np.arange(len(k)) + np.repeat(first - np.cumsum(n) + n, n)
+                        ok = (l2[j] <= c[k]) & (r2[j] >= c[k]) & (np.minimum(r2[j], r[k]) - np.maximum(l2[j], l[k]) >= least - 1)
+                        met.append((k[ok] << 32) + short[j[ok]] + (1 << 31))
+                    met = np.unique(np.concatenate(met))
+                    n = np.bincount(met >> 32, minlength=len(c))
+                    ends, others = np.cumsum(n).tolist(), ((met & 0xFFFFFFFF) - (1 << 31)).tolist()
+                    for k in np.flatnonzero(n >= enough - 1).tolist():
                         a, b, o = int(low[k]), int(high[k]) + 1, int(own[k])
                         piece = near[a:b].tobytes()
                         if (o, key[k], piece) not in seen:
                             seen.add((o, key[k], piece))
-                            out.append((int(key[k]), ids[o], int(c[k]) - a, piece, sorted(set(more))))
+                            out.append((int(key[k]), ids[o], int(c[k]) - a, piece, others[ends[k] - int(n[k]) : ends[k]]))
                     if len(out) > 5000:
                         yield batch_of(out)
                         out = []
@@ -249,7 +251,7 @@ def _similar_around(x: np.ndarray, s: int, y: np.ndarray, t: int, least: int, si
     ux, uy = np.unique(x) if ux is None else ux, np.unique(y) if uy is None else uy
     plain = len(ux) == len(x) and len(uy) == len(y)
     begins = _starts(x, s, uy, least, similarity, plain)
-    if not begins or not (others := _starts(y, t, ux, least, similarity, plain)):
+    if not begins or not (others := _starts(y, t, ux, least, similarity, plain)) or max(begins.values()) + max(others.values()) < -1e-9:
         return False
     if not plain:
         return _similar_sets(x, y, s, t, least, similarity, begins, others)
@@ -280,23 +282,34 @@ def _nearest(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v, at + 1
 
 
-def _starts(x: np.ndarray, s: int, y: np.ndarray, least: int, similarity: float, plain: bool) -> list[int]:
-    """Starts of passages around number s of a row with a share of ``similarity`` of their shingles in sorted y, as all similar ones have."""
-    on = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) - similarity
+def _starts(x: np.ndarray, s: int, y: np.ndarray, least: int, similarity: float, plain: bool) -> dict[int, float]:
+    """Starts of passages around number s of a row with a share of ``similarity`` of their shingles in sorted y, as all similar ones have.
+
+    Two passages are similar if (1 + similarity) * matches - similarity * both lengths is not negative. Half of
+    the matches belong to either side: each start comes with the most that its side can add to this sum.
+    """
+    on, half = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x, (1 + similarity) / 2
     begin = np.arange(min(s, len(x) - least) + 1)
     if plain:
-        total = np.concatenate(([0.0], np.cumsum(on)))
-        best = np.maximum.accumulate(total[::-1])[::-1]  # the best end from there on
-        return np.flatnonzero(best[np.maximum(s + 1, begin + least)] - total[begin] >= -1e-9).tolist()
-    order = np.argsort(x, kind="stable")
-    same = x[order[1:]] == x[order[:-1]]
-    before = np.full(len(x), -1)
-    before[order[1:][same]] = order[:-1][same]
-    new = before[None, :] < begin[:, None]  # the first of its kind from this start on
-    new &= np.arange(len(x))[None, :] >= begin[:, None]
-    total = np.cumsum(np.where(new, on[None, :], 0.0), axis=1)
-    total[np.arange(len(x))[None, :] < np.maximum(s, begin + least - 1)[:, None]] = -1.0
-    return np.flatnonzero(total.max(axis=1) >= -1e-9).tolist()
+        stop = np.maximum(s + 1, begin + least)
+
+        def best(value):
+            total = np.concatenate(([0.0], np.cumsum(value)))
+            return np.maximum.accumulate(total[::-1])[::-1][stop] - total[begin]  # to the best end from there on
+
+        share, gain = best(on - similarity), best(half * on - similarity)
+    else:
+        order = np.argsort(x, kind="stable")
+        same = x[order[1:]] == x[order[:-1]]
+        before = np.full(len(x), -1)
+        before[order[1:][same]] = order[:-1][same]
+        new = before[None, :] < begin[:, None]  # the first of its kind from this start on
+        new &= np.arange(len(x))[None, :] >= begin[:, None]
+        n, m = np.cumsum(new, axis=1, dtype=np.int32), np.cumsum(new & on, axis=1, dtype=np.int32)
+        early = np.arange(len(x))[None, :] < np.maximum(s, begin + least - 1)[:, None]
+        share, gain = (np.where(early, -np.inf, w * m - similarity * n).max(axis=1) for w in (1.0, half))
+    at = np.flatnonzero(share >= -1e-9)
+    return dict(zip(at.tolist(), gain[at].tolist()))
 
 
 def _firsts(x: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,30 +318,40 @@ def _firsts(x: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     return v, at + begin
 
 
-def _similar_sets(x: np.ndarray, y: np.ndarray, s: int, t: int, least: int, similarity: float, begins: list[int], others: list[int]) -> bool:
+def _similar_sets(x: np.ndarray, y: np.ndarray, s: int, t: int, least: int, similarity: float, begins: dict[int, float], others: dict[int, float]) -> bool:
     """The same for shingles that repeat or change sides, by sets: all ends at once for each two starts."""
-    def opened(z, c, starts):
+    both = np.intersect1d(x, y)
+
+    def opened(z, c, starts, least_gain):
         seen = set()
-        for begin in starts:
+        for begin, gain in sorted(starts.items(), key=lambda kv: -kv[1]):
+            if gain < least_gain:
+                return
             stop = max(c, begin + least - 1)
-            if stop < len(z):
-                v, at = _firsts(z, begin)
-                n = np.bincount(at, minlength=len(z)).cumsum()[stop:]
-                if n[0] == n[-1]:  # one set whatever the end, as in text with a short period
-                    if v.tobytes() in seen:
-                        continue
-                    seen.add(v.tobytes())
-                    n = n[:1]
-                yield stop, v, at, n
-
-    ready = list(opened(y, t, others))
-    for stop, v, at, n in opened(x, s, begins):
-        for stop2, v2, at2, n2 in ready:
-            same, i, j = np.intersect1d(v, v2, assume_unique=True, return_indices=True)
-            if len(same) < similarity * max(n[0], n2[0]) - 1e-9:
+            v, at = _firsts(z, begin)
+            n = np.bincount(at, minlength=len(z)).cumsum()[stop:]
+            if n[0] == n[-1]:  # one set whatever the end, as in text with a short period
+                if v.tobytes() in seen:
+                    continue
+                seen.add(v.tobytes())
+                n = n[:1]
+            end = np.full(len(both), -1)  # how far behind the least end each common shingle comes first
+            code = np.minimum(np.searchsorted(both, v), len(both) - 1)
+            here = both[code] == v
+            end[code[here]] = np.maximum(at[here] - stop, 0)
+            yield gain, n, end
+
+    if not len(both):
+        return False
+    ready = list(opened(y, t, others, -1e-9 - max(begins.values())))
+    for gain, n, p in opened(x, s, begins, -1e-9 - max(others.values())):
+        for gain2, n2, q in ready:
+            if gain + gain2 < -1e-9:
+                break
+            use = (p >= 0) & (q >= 0)
+            if (1 + similarity) * np.count_nonzero(use) < similarity * (n[0] + n2[0]) - 1e-9:
                 continue
-            p, q = np.maximum(at[i] - stop, 0), np.maximum(at2[j] - stop2, 0)
-            m = np.bincount(p * len(n2) + q, minlength=len(n) * len(n2)).reshape(len(n), len(n2)).cumsum(0).cumsum(1)
+            m = np.bincount(p[use] * len(n2) + q[use], minlength=len(n) * len(n2)).reshape(len(n), len(n2)).cumsum(0).cumsum(1)
             if ((1 + similarity) * m >= similarity * (n[:, None] + n2) - 1e-9).any():
                 return True
     return False
