@@ -13,7 +13,8 @@ join several classes of texts, windows become intervals [l, r], which carry the
 other hash functions that share passages with them: intervals of two texts are verified only if they meet under
 ``ENOUGH`` hash functions. Two texts are linked if passages of ``LEAST`` or more shingles in such intervals, each
 with a length and an offset of its own, have an exact Jaccard similarity of ``SIMILARITY`` or more. Intervals are
-compared in blocks of ``BLOCK``, larger groups as block pairs; a block pair returns a spanning forest.
+compared in blocks of ``BLOCK``, larger groups as block pairs; a block pair returns a spanning forest. Blocks of
+the largest class of a group meet the blocks of its other classes only.
 
 How far around c to look follows from the threshold. Let similar passages have no repeated shingle and keep
 their order. Cut both behind a match: one side is similar as well, and is a passage unless it is too short. So
@@ -481,21 +482,30 @@ def passage_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # Copies have equal intervals: one of each class stands for them.
     pieces = pieces.join(asked.select("node", "class"), "node").groupBy("key", "class", "at", "piece", "others").agg(F.min("node").alias("node"))
     pieces = cut(pieces, "intervals")
-    crowd = cut(pieces.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key", "k"), "crowds")
-    sized = pieces.join(crowd, "key")
+
+    def crowds(rows: DataFrame, name: str) -> DataFrame:
+        """Keys with several classes, their largest class, and in how many blocks it and the rest come."""
+        sizes = rows.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all")).where("all > top.n")
+        in_blocks = [F.ceil(n / block).cast("int").alias(k) for n, k in ((F.col("top.n"), "tops"), (F.col("all") - F.col("top.n"), "rests"))]
+        return cut(most.select("key", F.col("top.class").alias("most"), *in_blocks, (F.col("all") > block).alias("large")), name)
 
     def compared(rows: DataFrame) -> DataFrame:
-        dealt = rows.withColumn("own", F.pmod(F.xxhash64("piece"), F.col("k").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        """Links of the rows of each key. Rows of its largest class need no comparison with each other, so their blocks meet those of the rest only."""
+        top, mark = F.col("class") == F.col("most"), F.xxhash64("piece")
+        own = F.when(top, F.pmod(mark, F.col("tops").cast("long"))).otherwise(F.col("tops") + F.pmod(mark, F.col("rests").cast("long"))).cast("int")
+        meets = F.when(top, F.sequence(F.col("tops"), F.col("tops") + F.col("rests") - 1)).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("tops") + F.col("rests") - 1), F.col("own")))
+        dealt = rows.withColumn("own", own).withColumn("other", F.explode(meets))
         dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "class", "at", "piece", "others")
         return cut(dealt.repartition("g").sortWithinPartitions("g", "node").mapInArrow(_compare(least, similarity, enough), "a bigint, b bigint"), "near")
 
     # Small groups first: what they link need not be told apart in the large ones, most of which then hold one class.
-    links = stars.unionByName(compared(sized.where("k = 1")))
+    sized = pieces.join(crowds(pieces, "crowds"), "key")
+    links = stars.unionByName(compared(sized.where("not large")))
     joined = connected_components(links)
-    large = sized.where("k > 1").join(joined, "node", "left").select("key", "node", "at", "piece", "others", F.coalesce("component", "class").alias("class"), "k")
-    large = cut(large.groupBy("key", "class", "at", "piece", "others", "k").agg(F.min("node").alias("node")), "large")
-    still = cut(large.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo != hi").select("key"), "still")
-    parts = connected_components(links.unionByName(compared(large.join(still, "key"))))
+    large = sized.where("large").join(joined, "node", "left").select("key", "node", "at", "piece", "others", F.coalesce("component", "class").alias("class"))
+    large = cut(large.groupBy("key", "class", "at", "piece", "others").agg(F.min("node").alias("node")), "large")
+    parts = connected_components(links.unionByName(compared(large.join(crowds(large, "still"), "key"))))
     tally = shared.groupBy("node").agg(F.countDistinct("key").alias("n_shared"))
     out = docs.select(F.col(doc_id), F.col(doc_id).cast("long").alias("__node"))
     return (
