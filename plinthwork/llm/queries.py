@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plinthwork.functions.storage import table
-from plinthwork.llm import chat, media, mixing, passages, pieces, repeats, simhash, toxicity, urls, vectors
+from plinthwork.llm import attention, chat, divergence, media, mixing, passages, periods, pieces, repeats, simhash, toxicity, urls, vectors
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,32 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language and the terms in which each stands out; nulls are empty strings."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; labels of held-out rows are never read."""
+    docs = table(spark, sf_dir, "documents")
+    return attention.score_documents(docs, attention.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the periodic runs of all documents, every tenth one with a planted period; a null text has no words."""
+    found = periods.periodic_runs(periods.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = periods.longest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_media, op3_repeats, op4_vectors, op5_toxicity, op6_chat, op7_mixing, op8_passages, op9_sentencepiece, op10_urls)} | {"pipeline": corpus_pipeline.run}
+    named = (op1_simhash, op2_media, op3_repeats, op4_vectors, op5_toxicity, op6_chat, op7_mixing, op8_passages, op9_sentencepiece, op10_urls, op11_divergence, op12_quality, op13_periods)
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op11_divergence": divergence.SQL}
