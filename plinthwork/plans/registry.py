@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import analytics, contracts, forms, matching, relational, rollups, scorecards, signals, textual
+from plinthwork.plans import analytics, contracts, forms, linkage, masters, matching, relational, rollups, scorecards, signals, textual
 
-PACKS = [scorecards, relational, matching, analytics, textual, rollups, signals, contracts, forms]
+PACKS = [scorecards, relational, matching, analytics, textual, rollups, signals, contracts, forms, linkage, masters]
 
 
 def queries() -> dict:
