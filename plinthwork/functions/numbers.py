@@ -12,6 +12,11 @@ def as_col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(x, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(as_col(x)), use)[0]
+
+
 def rounded(x, places: int = 4) -> Column:
     """Half-up rounding by floor, the same double arithmetic in Spark and in SQL engines."""
     k = float(10**places)

@@ -33,6 +33,62 @@ BAD_PARTS = (
 IDENTITY_METHODS = ("EIN_EXACT", "CROSSWALK", "CIK_BRIDGE")
 
 
+# Violations of an establishment where its industry's average is not known, and steps of charges and of wins nearby.
+TYPICAL_VIOLATIONS = 2.23
+CHARGE_POINTS, CHARGE_ANGER = ((10, 8), (4, 6), (2, 4), (1, 2)), ((10, 10), (4, 8), (2, 6), (1, 4))
+INDUSTRY_WINS, STATE_WINS = ((50, 2.0), (20, 1.5), (5, 1.0), (1, 0.5)), ((100, 2.0), (40, 1.5), (10, 1.0), (1, 0.5))
+
+
+def _or0(x) -> Column:
+    return F.coalesce(as_col(x), F.lit(0))
+
+
+def violations(willful, repeat, serious, total, latest, norm, as_of) -> Column:
+    """Violations by severity against the industry's average, halved every five years, and one more for willful or repeated ones; null without a record."""
+    w, r, s, n = (_or0(x) for x in (willful, repeat, serious, total))
+    weight = w * 3 + r * 2 + s + (n - w - r - s) * 0.5
+    average = F.greatest(F.coalesce(as_col(norm), F.lit(TYPICAL_VIOLATIONS)), F.lit(0.1))
+    base = F.greatest(F.lit(0.0), rounded(weight / average * decay(as_of, latest, 5.0), 2))
+    return F.when(as_col(total).isNotNull(), F.least(F.lit(10.0), base + F.when(w + r > 0, 1.0).otherwise(0.0)))
+
+
+def organizing(wins, elections, losses, latest, charges, latest_charge, industry_wins, state_wins, as_of, own: tuple[int, int, int] = (2, 1, -1)) -> Column:
+    """Elections and charges, halved every seven years, and wins of the last years in the industry and state; null without either.
+
+    ``own`` weighs wins, elections and losses.
+    """
+    history = (_or0(wins) * own[0] + _or0(elections) * own[1] + _or0(losses) * own[2]) * decay(as_of, latest, 7.0)
+    points = F.coalesce(ladder(_or0(charges), CHARGE_POINTS, 0.0), F.lit(0.0)) * decay(as_of, latest_charge, 7.0)
+    nearby = ladder(_or0(industry_wins), INDUSTRY_WINS, 0.0) + ladder(_or0(state_wins), STATE_WINS, 0.0)
+    return F.when(as_col(elections).isNotNull() | as_col(charges).isNotNull(), F.least(F.lit(10.0), F.greatest(F.lit(0.0), rounded(history + points + nearby, 2))))
+
+
+def anger(osha, whd, nlrb, charges, sentiment=None, researched=None) -> Column:
+    """Mean of the enforcement factors and charges that there are, at most 10; a researched value comes first, found sentiment adds."""
+    n = as_col(charges)
+    steps = F.when(n > 0, ladder(n, CHARGE_ANGER, 0.0))
+    extra = _or0(sentiment) * 10 if sentiment is not None else F.lit(0.0)
+    parts = [(as_col(osha), 3), (as_col(whd), 3), (as_col(nlrb), 3), (steps, 4)]
+    top = reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) * float(w) for c, w in parts]) + extra
+    low = reduce(Column.__add__, [F.when(c.isNotNull(), float(w)).otherwise(0.0) for c, w in parts])
+    own = F.when(low > 0, F.least(F.lit(10.0), top / low))
+    return own if researched is None else F.coalesce(as_col(researched), own)
+
+
+def leverage(proximity, similarity_, contracts_, financial_, growth_, revenue_each=None) -> Column:
+    """Weighted mean of the factors that there are, at most 10; revenue of over 500,000 a worker adds."""
+    parts = [(as_col(proximity), 10), (as_col(similarity_), 15), (as_col(contracts_), 25), (as_col(financial_), 25), (as_col(growth_), 10)]
+    extra = F.when(_or0(revenue_each) > 500_000, 10.0).otherwise(0.0) if revenue_each is not None else F.lit(0.0)
+    top = reduce(Column.__add__, [F.coalesce(c, F.lit(0.0)) * float(w) for c, w in parts]) + extra
+    low = reduce(Column.__add__, [F.when(c.isNotNull(), float(w)).otherwise(0.0) for c, w in parts])
+    return F.when(low > 0, F.least(F.lit(10.0), top / low))
+
+
+def tier(percentile, factors, direct) -> Column:
+    p, solid = as_col(percentile), (as_col(factors) >= 3) & (as_col(direct) >= 1)
+    return F.when((p >= 0.97) & solid, "Priority").when((p >= 0.85) & solid, "Strong").when((p >= 0.60) & (as_col(direct) >= 1), "Promising").when(p >= 0.85, "Speculative").when(p >= 0.25, "Moderate").otherwise("Low")
+
+
 def wage_cases(cases, latest, as_of) -> Column:
     """0, 5, 7 or 10 by cases, halved every five years; null without a record."""
     return rounded(ladder(cases, [(4, 10), (2, 7), (1, 5)], 0.0) * decay(as_of, latest, 5.0), 2)

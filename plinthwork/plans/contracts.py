@@ -6,49 +6,88 @@ from pyspark.sql import functions as F
 
 from plinthwork.functions import similarity as sim
 from plinthwork.functions.numbers import rounded
-from plinthwork.functions.storage import table
+from plinthwork.functions.storage import cut, table
 from plinthwork.operators import contracts as ct
 from plinthwork.operators import relational as rel
 from plinthwork.plans.matching import GRAMS
 from plinthwork.plans.scorecards import R
 
-#: Contract texts with what they hold, written out: text, employer, union, local, years, holidays, stays, words, wage table.
-TEXTS = (
-    ("Agreement by and between Acme Steel and Teamsters Local 705, a 3-year agreement.", "Acme Steel", "Teamsters Local 705", "705", 3, 0, True, 13, False),
-    ("made between United Workers Local No. 12 and Blue River Foods, for a 12 year term", "Blue River Foods", "United Workers Local No. 12", "12", None, 0, True, 16, False),
-    ("Holidays: New Year, Memorial Day, July 4, Labor Day, Thanksgiving, Christmas and 2 floating holidays.", None, None, None, None, 8, True, 15, False),
-    ("Article 1 Wages ........ 4", None, None, None, None, 0, False, 5, False),
-    ("Overtime 12, 34, 56", None, None, None, None, 0, False, 4, False),
-    ("Step 1 $12.50 Step 2 $13.75 Step 3 $14,00 an hour; 5 year contract", None, None, None, 5, 0, True, 14, True),
-    ("", None, None, None, None, 0, True, 0, False),
-)
+EMPLOYERS = ("Acme Steel", "Blue River Foods", "Cedar Mills", "Delta Glass")
+#: Unions with the number of their local.
+UNIONS = (("Teamsters Local 705", "705"), ("Carpenters District Council", None), ("United Workers Local No. 12", "12"), ("Machinists Lodge No. 7", "7"), ("Operating Engineers Local 100A", "100A"), ("Nurses Association", None))
+DAYS = ("New Year", "Memorial Day", "Labor Day", "Thanksgiving", "Christmas", "Easter")
+_FILL = "Both sides keep their records in good order and hand them over when asked to do so, in full and without delay. " * 3
+
+
+def _choose(k, items):
+    """One of the texts by the key; null where the item is."""
+    return F.get(F.array(*[F.lit(x) for x in items]), (k % len(items)).cast("int"))
+
+
+def _contracts(spark, d):
+    """Contract texts of orders: parties, dates, places, holidays, rates, steps and more, all worded by the key."""
+    k = F.col("o_orderkey")
+    e, u = _choose(k, EMPLOYERS), _choose(k, [n for n, _ in UNIONS])
+    opening = _choose(k, ["a", "b", "c"])
+    parts = [
+        F.when(opening == "a", F.concat(F.lit("This Agreement is made by and between the "), e, F.lit(" and "), u, F.lit(", both of good standing. "))).when(opening == "b", F.concat(F.lit("Contract between the "), u, F.lit(' and "'), e, F.lit('", made in good faith. '))).otherwise(F.concat(F.lit("Entered into by "), e, F.lit(" and "), u, F.lit(", as follows. "))),
+        F.when(k % 5 == 0, F.concat(F.lit("It is a "), (k % 12).cast("string"), F.lit("-year agreement. "))),
+        _choose(k, ["It is effective as of January 1, 2022 and shall expire on December 31, 2025. ", "It holds for the period March 1, 2023 through February 28, 2027. ", "Effective 01/15/2024 and ending on 01/14/2028. ", "2021-2024 Master Agreement. "]),
+        _choose(k, ["", "It covers shops in the state of New York. ", "Its seat is Albany, Ohio. ", "Its shops are located in West Virginia. "]),
+        F.when(k % 5 == 2, "The bargaining unit shall consist of all maintenance workers and porters of the plants. "),
+        F.when(k % 7 > 0, F.concat(F.lit("Holidays are "), F.array_join(F.slice(F.array(*[F.lit(x) for x in DAYS]), F.lit(1), (k % 7).cast("int")), ", "), F.when(k % 3 > 0, F.concat(F.lit(" and "), (k % 3).cast("string"), F.lit(" floating holidays"))).otherwise(""), F.lit(". "))),
+        _choose(k, ["", "They are paid at double time and one half. ", "They are paid at time and a half. ", "They are paid at straight time. ", "They are paid at triple time. "]), F.lit(_FILL),
+        F.when(k % 3 == 1, "Overtime is paid at time and one half. "),
+        F.when(k % 6 == 1, "A 4-step grievance procedure applies. ").when(k % 6 > 1, F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest((k % 6).cast("int"), F.lit(1))), lambda i: F.concat(F.lit("Step "), i.cast("string"), F.lit(": meet"))), "; "), F.lit(". "))),
+        F.when(k % 2 == 1, "There is no strike during the term. "),
+        _choose(k, ["The probation lasts sixty (60) calendar days. ", "Within 3 months of hire, probation is over. ", "A probation of 5 days is usual. ", ""]),
+        F.when(k % 3 == 0, "Rates: $12.50, $13.75 and $14,00. "), F.when(k % 8 == 7, "Wages ........ 4"),
+    ]
+    return cut(table(spark, d, "orders").select("o_orderkey", F.concat(*[F.coalesce(p, F.lit("")) for p in parts]).alias("text")), "contracts")  # else each field would word the text anew
 
 
 def contract_fields(spark, d):
-    """Parties, local, term, holidays, contents mark, words and wage table of each order's contract text."""
-    o = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(t[0]) for t in TEXTS]), (F.col("o_orderkey") % len(TEXTS) + 1).cast("int")).alias("text"))
-    j = o.withColumn("p", ct.parties("text")).withColumn("s", ct.section_facts("text"))
-    return j.select("o_orderkey", "p.employer", F.col("p.union").alias("other"), ct.local_number("text").alias("local_number"), ct.term_years("text").alias("years"), ct.holidays("text").alias("holidays"), ct.kept_chunk("text", F.lit(3), F.lit(40)).alias("stays"), F.col("s.words").alias("words"), F.col("s.wage_table").alias("wage_table"))
+    """Parties, local, dates, state, unit, term, holidays, rates, steps, probation, marks and words of each order's contract text."""
+    t = F.col("text")
+    j = _contracts(spark, d).withColumn("p", ct.parties(t)).withColumn("s", ct.section_facts(t)).withColumn("w", ct.contract_dates(t))
+    return j.select(
+        "o_orderkey", "p.employer", F.col("p.union").alias("other"), ct.local_number(t).alias("local_number"), F.col("w.effective").alias("effective"), F.col("w.expires").alias("expires"), ct.place_state(t).alias("state"),
+        ct.bargaining_unit(t).alias("unit"), ct.term_years(t).alias("years"), ct.holidays(t).alias("holidays"), ct.holiday_rate(t).alias("holiday_rate"), ct.overtime_rate(t).alias("overtime_rate"), ct.grievance_steps(t).alias("steps"),
+        ct.no_strike(t).alias("no_strike"), ct.probation_days(t).alias("probation"), ct.kept_chunk(t, F.lit(3), F.lit(40)).alias("stays"), F.col("s.words").alias("words"), F.col("s.wage_table").alias("wage_table"),
+    )
 
 
 def _v(x):
-    return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-FIELDS = f"WITH t(i, employer, other, local_number, years, holidays, stays, words, wage_table) AS (VALUES {', '.join('(' + ', '.join([str(i), *[_v(x) for x in t[1:]]]) + ')' for i, t in enumerate(TEXTS))}) SELECT o_orderkey, employer, other, local_number, CAST(years AS INTEGER) AS years, CAST(holidays AS INTEGER) AS holidays, stays, CAST(words AS BIGINT) AS words, wage_table FROM orders JOIN t ON o_orderkey % {len(TEXTS)} = i"
+def _pick(items, k="k"):
+    return "[" + ", ".join(_v(x) for x in items) + f"][{k} % {len(items)} + 1]"
+
+
+_WORDS = {"filler": len(_FILL.split())}
+FIELDS = f"""WITH t AS (SELECT o_orderkey k, {_pick(EMPLOYERS, "o_orderkey")} e, {_pick([n for n, _ in UNIONS], "o_orderkey")} u FROM orders), n AS (SELECT *, len(string_split(e, ' ')) ew, len(string_split(u, ' ')) uw FROM t)
+SELECT k o_orderkey, e employer, CASE WHEN k % 3 = 1 THEN u ELSE string_split(u, '.')[1] END other, {_pick([x for _, x in UNIONS])} local_number,
+{_pick(["January 1, 2022", "March 1, 2023", "01/15/2024", "January 1, 2021"])} effective, {_pick(["December 31, 2025", "February 28, 2027", "01/14/2028", "December 31, 2024"])} expires, {_pick([None, "New York", "Ohio", "West Virginia"])} state,
+CASE WHEN k % 5 = 2 THEN 'of all maintenance workers and porters of the plants' END unit, (CASE WHEN k % 5 = 0 AND k % 12 BETWEEN 1 AND 10 THEN k % 12 WHEN k % 4 < 2 THEN 4 END)::INTEGER AS years, (CASE WHEN k % 7 >= 3 THEN k % 7 + k % 3 END)::INTEGER AS holidays,
+CASE k % 5 WHEN 1 THEN '2.5' WHEN 4 THEN '3.0' WHEN 2 THEN '1.5' WHEN 3 THEN CASE WHEN k % 3 = 1 THEN '1.5' ELSE '1.0' END ELSE CASE WHEN k % 3 = 1 THEN '1.5' END END holiday_rate, CASE WHEN k % 3 = 1 THEN '1.5' END overtime_rate,
+(CASE WHEN k % 6 = 1 THEN 4 WHEN k % 6 > 1 THEN k % 6 END)::INTEGER steps, k % 2 = 1 no_strike, (CASE k % 4 WHEN 0 THEN 60 WHEN 1 THEN 90 END)::INTEGER probation, k % 8 <> 7 stays,
+(CASE k % 3 WHEN 0 THEN 13 + ew + uw WHEN 1 THEN 8 + ew + uw ELSE 6 + ew + uw END + CASE WHEN k % 5 = 0 THEN 5 ELSE 0 END + [15, 12, 6, 3][k % 4 + 1] + [0, 9, 5, 7][k % 4 + 1] + CASE WHEN k % 5 = 2 THEN 14 ELSE 0 END
++ CASE WHEN k % 7 > 0 THEN 2 + [2, 4, 6, 7, 8, 9][k % 7] + CASE WHEN k % 3 > 0 THEN 4 ELSE 0 END ELSE 0 END + [0, 9, 8, 6, 6][k % 5 + 1] + {_WORDS["filler"]} + CASE WHEN k % 3 = 1 THEN 8 ELSE 0 END
++ CASE WHEN k % 6 = 1 THEN 5 WHEN k % 6 > 1 THEN 3 * (k % 6) ELSE 0 END + CASE WHEN k % 2 = 1 THEN 7 ELSE 0 END + [7, 8, 7, 0][k % 4 + 1] + CASE WHEN k % 3 = 0 THEN 5 ELSE 0 END + CASE WHEN k % 8 = 7 THEN 3 ELSE 0 END)::BIGINT words, k % 3 = 0 wage_table FROM n"""
 
 
 def address_match(spark, d):
-    """Customers and suppliers of one street number, city and state whose names are similar at 0.3 or more, the best each."""
+    """Customers and suppliers of one street number, city and state whose names are similar at 0.4 or more, the best each."""
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("state"), (F.col("c_custkey") % 20).alias("city"), (F.col("c_custkey") % 90 + 1).alias("street_no"), F.concat(F.lit("company "), F.lower("c_name")).alias("x"))
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("state"), (F.col("s_suppkey") % 20).alias("city"), (F.col("s_suppkey") % 90 + 1).alias("street_no"), F.concat(F.lit("company "), F.lower("s_name")).alias("y"))
-    j = c.join(s, ["state", "city", "street_no"]).withColumn("similarity", rounded(sim.trigram_similarity("x", "y"))).where("similarity >= 0.3")
+    j = c.join(s, ["state", "city", "street_no"]).withColumn("similarity", rounded(sim.trigram_similarity("x", "y"))).where("similarity >= 0.4")
     return rel.first_by(j, ["c_custkey"], [F.desc("similarity"), F.asc("s_suppkey")]).select("c_custkey", "s_suppkey", "similarity")
 
 
 _X, _Y = GRAMS.format(x="x"), GRAMS.format(x="y")
 ADDRESS = f"""WITH j AS (SELECT c_custkey, s_suppkey, 'company ' || lower(c_name) x, 'company ' || lower(s_name) y FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 20 = s_suppkey % 20 AND c_custkey % 90 = s_suppkey % 90), g AS (SELECT c_custkey, s_suppkey, {_X} p, {_Y} q FROM j),
-s AS (SELECT c_custkey, s_suppkey, {R("len(list_intersect(p, q))::DOUBLE / (len(p) + len(q) - len(list_intersect(p, q)))")} similarity FROM g) SELECT DISTINCT ON (c_custkey) c_custkey, s_suppkey, similarity FROM s WHERE similarity >= 0.3 ORDER BY c_custkey, similarity DESC, s_suppkey"""
+s AS (SELECT c_custkey, s_suppkey, {R("len(list_intersect(p, q))::DOUBLE / (len(p) + len(q) - len(list_intersect(p, q)))")} similarity FROM g) SELECT DISTINCT ON (c_custkey) c_custkey, s_suppkey, similarity FROM s WHERE similarity >= 0.4 ORDER BY c_custkey, similarity DESC, s_suppkey"""
 
 
 def bridge_join(spark, d):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import analytics, contracts, forms, linkage, masters, matching, relational, rollups, scorecards, signals, textual
+from plinthwork.plans import analytics, contents, contracts, forms, linkage, masters, matching, relational, rollups, scorecards, signals, textual, unified
 
-PACKS = [scorecards, relational, matching, analytics, textual, rollups, signals, contracts, forms, linkage, masters]
+PACKS = [unified, scorecards, relational, matching, analytics, textual, rollups, signals, contracts, forms, linkage, masters, contents]
 
 
 def queries() -> dict:

@@ -1,12 +1,11 @@
-"""Scorecards: decayed factors, pillars over what is present, percentile tiers, and their companions."""
+"""Aggregates under the scorecards, and companions: win rates, wage outliers, union health, flags."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plinthwork.functions.numbers import clamp, decay, ladder, present, ratio, rounded, weighted_mean_present
+from plinthwork.functions.numbers import clamp, ladder, ratio, rounded, weighted_mean_present
 from plinthwork.functions.storage import table
-from plinthwork.operators.relational import percent_rank_of_values
 
 AS_OF = "2001-08-01"
 
@@ -36,98 +35,12 @@ def elections(spark, d):
     )
 
 
-def scored(spark, d):
-    """Factors, pillars, composite score and coverage of each customer as of a fixed date."""
-    as_of = F.to_date(F.lit(AS_OF))
-    c = table(spark, d, "customer")
-    v = violations(spark, d).withColumnRenamed("o_custkey", "v_key")
-    e = elections(spark, d).withColumnRenamed("o_custkey", "e_key")
-    base = c.join(v, c["c_custkey"] == v["v_key"], "left").join(e, c["c_custkey"] == e["e_key"], "left")
-    weight = F.col("willful") * 3.0 + F.col("repeat") * 2.0 + F.col("serious") * 1.0
-    norm = base.groupBy("c_mktsegment").agg((F.sum(weight) / F.count("v_key")).alias("industry_average")).withColumnRenamed("c_mktsegment", "segment")
-    base = base.join(norm, base["c_mktsegment"] == norm["segment"], "left")
-    osha = clamp(weight / F.greatest(F.coalesce("industry_average", F.lit(2.23)), F.lit(0.1)) * 4.0 * decay(as_of, "last_inspection", 5.0), 0.0, 10.0)
-    nlrb = clamp((F.col("wins") * 2.0 + F.col("elections") - F.col("losses")) * decay(as_of, "last_election", 7.0) / 2.0, 0.0, 10.0)
-    contracts = ladder(F.col("obligations").cast("double"), [(4000000, 10), (3000000, 8), (2000000, 6), (1000000, 4), (500000, 2)], 1)
-    size = F.when(F.col("c_acctbal") < 0, F.lit(None).cast("double")).otherwise(clamp((F.col("c_acctbal") + 10) / 20 * 0.02, 0.0, 10.0))
-    out = base.select("c_custkey", "c_mktsegment", "c_nationkey", osha.alias("osha"), nlrb.alias("nlrb"), contracts.alias("contracts"), size.alias("size"))
-    anger, leverage = weighted_mean_present([("osha", 3), ("nlrb", 3)]), weighted_mean_present([("contracts", 25), ("size", 10)])
-    out = out.withColumn("anger", anger).withColumn("leverage", leverage).withColumn("factors", present("osha", "nlrb", "contracts", "size")).withColumn("direct", present("osha", "nlrb"))
-    capped = F.when((F.col("factors") < 3) & (F.col("direct") == 0), 7.0).otherwise(10.0)
-    # As the scoring rule is written: least() skips nulls, so a row without any pillar scores the cap.
-    return out.withColumn("score", F.least(rounded(weighted_mean_present([("anger", 3), ("leverage", 4)]), 2), capped))
-
-
-def scorecard_tiers(spark, d):
-    ranked = percent_rank_of_values(scored(spark, d), "score")
-    p, solid = F.col("percentile"), (F.col("factors") >= 3) & (F.col("direct") >= 1)
-    tier = F.when((p >= 0.97) & solid, "Priority").when((p >= 0.85) & solid, "Strong").when((p >= 0.60) & (F.col("direct") >= 1), "Promising").when(p >= 0.85, "Speculative").when(p >= 0.25, "Moderate").otherwise("Low")
-    return ranked.select("c_custkey", rounded("osha").alias("osha"), rounded("nlrb").alias("nlrb"), "contracts", rounded("size").alias("size"), rounded("anger").alias("anger"), rounded("leverage").alias("leverage"), F.col("factors").cast("long").alias("factors"), "score", rounded("percentile", 6).alias("percentile"), tier.alias("tier"))
-
-
 def R(x: str, n: int = 4) -> str:
     """SQL of the shared rounding."""
     k = f"{10**n}.0::DOUBLE"
     return f"(floor(({x}) * {k} + 0.5) / {k})::DOUBLE"
 
 
-SCORED = f"""
-v0 AS (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') w, count(*) FILTER (l_returnflag = 'A') r, count(*) FILTER (l_returnflag = 'N') s, max(l_shipdate::DATE) li FROM lineitem GROUP BY 1),
-v AS (SELECT o_custkey, (sum(w) * 3.0::DOUBLE + sum(r) * 2.0::DOUBLE + sum(s)) weight, max(li) li FROM v0 JOIN orders ON l_orderkey = o_orderkey GROUP BY 1),
-e AS (SELECT o_custkey, count(*) n, count(*) FILTER (o_orderstatus = 'F') won, count(*) FILTER (o_orderstatus = 'O') lost, max(o_orderdate::DATE) le, sum(o_totalprice::DECIMAL(18,2)) ob FROM orders GROUP BY 1),
-b AS (SELECT c.*, v.weight, v.li, v.o_custkey vk, e.n, e.won, e.lost, e.le, e.ob FROM customer c LEFT JOIN v ON c_custkey = v.o_custkey LEFT JOIN e ON c_custkey = e.o_custkey),
-ia AS (SELECT c_mktsegment seg, sum(weight) / count(vk) ia FROM b GROUP BY 1),
-f AS (SELECT c_custkey, c_mktsegment, c_nationkey,
-  CASE WHEN weight IS NOT NULL THEN least(greatest(weight / greatest(coalesce(ia, 2.23::DOUBLE), 0.1::DOUBLE) * 4.0::DOUBLE * coalesce(exp(-ln(2.0::DOUBLE) / 5.0::DOUBLE * greatest(0, date_diff('day', li, DATE '{AS_OF}')) / 365.25::DOUBLE), 1.0), 0.0::DOUBLE), 10.0::DOUBLE) END osha,
-  CASE WHEN n IS NOT NULL THEN least(greatest((won * 2.0::DOUBLE + n - lost) * coalesce(exp(-ln(2.0::DOUBLE) / 7.0::DOUBLE * greatest(0, date_diff('day', le, DATE '{AS_OF}')) / 365.25::DOUBLE), 1.0) / 2.0::DOUBLE, 0.0::DOUBLE), 10.0::DOUBLE) END nlrb,
-  (CASE WHEN ob IS NULL THEN NULL WHEN ob >= 4000000 THEN 10 WHEN ob >= 3000000 THEN 8 WHEN ob >= 2000000 THEN 6 WHEN ob >= 1000000 THEN 4 WHEN ob >= 500000 THEN 2 ELSE 1 END)::DOUBLE contracts,
-  CASE WHEN c_acctbal >= 0 THEN least(greatest((c_acctbal + 10::DOUBLE) / 20::DOUBLE * 0.02::DOUBLE, 0.0::DOUBLE), 10.0::DOUBLE) END size
-  FROM b LEFT JOIN ia ON c_mktsegment = seg),
-p AS (SELECT *, (coalesce(osha, 0) * 3.0::DOUBLE + coalesce(nlrb, 0) * 3.0::DOUBLE) / nullif((CASE WHEN osha IS NULL THEN 0 ELSE 3 END + CASE WHEN nlrb IS NULL THEN 0 ELSE 3 END)::DOUBLE, 0) anger,
-  (coalesce(contracts, 0) * 25.0::DOUBLE + coalesce(size, 0) * 10.0::DOUBLE) / nullif((CASE WHEN contracts IS NULL THEN 0 ELSE 25 END + CASE WHEN size IS NULL THEN 0 ELSE 10 END)::DOUBLE, 0) leverage,
-  (osha IS NOT NULL)::INT + (nlrb IS NOT NULL)::INT + (contracts IS NOT NULL)::INT + (size IS NOT NULL)::INT factors, (osha IS NOT NULL)::INT + (nlrb IS NOT NULL)::INT direct FROM f),
-s AS (SELECT *, least({R("(coalesce(anger, 0) * 3.0::DOUBLE + coalesce(leverage, 0) * 4.0::DOUBLE) / nullif((CASE WHEN anger IS NULL THEN 0 ELSE 3 END + CASE WHEN leverage IS NULL THEN 0 ELSE 4 END)::DOUBLE, 0)", 2)}, CASE WHEN factors < 3 AND direct = 0 THEN 7.0::DOUBLE ELSE 10.0::DOUBLE END) score FROM p)"""
-
-SCORECARD_TIERS = f"""WITH {SCORED},
-k AS (SELECT *, percent_rank() OVER (ORDER BY score ASC NULLS FIRST) pr FROM s)
-SELECT c_custkey, {R("osha")} osha, {R("nlrb")} nlrb, contracts, {R("size")} size, {R("anger")} anger, {R("leverage")} leverage, factors::BIGINT factors, score, {R("pr", 6)} percentile,
-CASE WHEN pr >= 0.97 AND factors >= 3 AND direct >= 1 THEN 'Priority' WHEN pr >= 0.85 AND factors >= 3 AND direct >= 1 THEN 'Strong' WHEN pr >= 0.60 AND direct >= 1 THEN 'Promising' WHEN pr >= 0.85 THEN 'Speculative' WHEN pr >= 0.25 THEN 'Moderate' ELSE 'Low' END tier FROM k"""
-
-
-def source_flags(spark, d):
-    """Which sources know a customer, as flags, and how many do."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(
-        F.bool_or(F.col("o_orderstatus") == "F").alias("has_win"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("has_urgent"), F.bool_or(F.col("o_totalprice") > 400000).alias("has_large"), F.bool_and(F.col("o_totalprice") > 1000).alias("all_sizable")
-    )
-    r = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey").distinct()
-    returned = table(spark, d, "orders").join(r, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_custkey").alias("r_key")).distinct()
-    c = table(spark, d, "customer")
-    j = c.join(o, c["c_custkey"] == o["o_custkey"], "left").join(returned, c["c_custkey"] == returned["r_key"], "left")
-    names = ["has_win", "has_urgent", "has_large", "all_sizable"]
-    flags = [F.coalesce(n, F.lit(False)).alias(n) for n in names] + [F.col("r_key").isNotNull().alias("has_return")]
-    out = j.select("c_custkey", *flags)
-    return out.withColumn("source_count", sum((F.col(n).cast("long") for n in [*names, "has_return"]), F.lit(0).cast("long")))
-
-
-SOURCE_FLAGS = """WITH o AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') has_win, bool_or(o_orderpriority = '1-URGENT') has_urgent, bool_or(o_totalprice > 400000) has_large, bool_and(o_totalprice > 1000) all_sizable FROM orders GROUP BY 1),
-r AS (SELECT DISTINCT o_custkey rk FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')),
-f AS (SELECT c_custkey, coalesce(has_win, false) has_win, coalesce(has_urgent, false) has_urgent, coalesce(has_large, false) has_large, coalesce(all_sizable, false) all_sizable, rk IS NOT NULL has_return FROM customer LEFT JOIN o ON c_custkey = o_custkey LEFT JOIN r ON c_custkey = rk)
-SELECT *, (has_win::INT + has_urgent::INT + has_large::INT + all_sizable::INT + has_return::INT)::BIGINT source_count FROM f"""
-
-
-def tier_migration(spark, d):
-    """Two snapshots of the score (with and without the enforcement pillar) and the moves between their tiers."""
-    s = scored(spark, d)
-    old = ladder(rounded("leverage", 2), [(6, 3), (4, 2), (2, 1)], 0)
-    new = ladder("score", [(6, 3), (4, 2), (2, 1)], 0)
-    return s.groupBy(F.coalesce(old, F.lit(-1.0)).cast("long").alias("old_tier"), F.coalesce(new, F.lit(-1.0)).cast("long").alias("new_tier")).agg(F.count(F.lit(1)).alias("moved"), F.max(rounded(F.col("score") - F.col("leverage"))).alias("largest_rise"))
-
-
-TIER_MIGRATION = f"""WITH {SCORED}
-SELECT coalesce(CASE WHEN leverage IS NULL THEN NULL WHEN {R("leverage", 2)} >= 6 THEN 3 WHEN {R("leverage", 2)} >= 4 THEN 2 WHEN {R("leverage", 2)} >= 2 THEN 1 ELSE 0 END, -1)::BIGINT old_tier,
-coalesce(CASE WHEN score IS NULL THEN NULL WHEN score >= 6 THEN 3 WHEN score >= 4 THEN 2 WHEN score >= 2 THEN 1 ELSE 0 END, -1)::BIGINT new_tier, count(*) moved, max({R("score - leverage")}) largest_rise FROM s GROUP BY 1, 2"""
-
-
 def win_rate_patterns(spark, d):
     """Win rates by industry, size bucket and state; blended to a predicted rate over what is known."""
     c, o, n = table(spark, d, "customer"), table(spark, d, "orders"), table(spark, d, "nation")
@@ -191,19 +104,6 @@ s AS (SELECT *, {R("(coalesce(growth, 0) + coalesce(wins, 0)) / nullif((CASE WHE
 SELECT n_name, {R("growth", 2)} growth, {R("wins", 2)} wins, score, CASE WHEN score >= 80 THEN 'A' WHEN score >= 65 THEN 'B' WHEN score >= 50 THEN 'C' WHEN score >= 35 THEN 'D' ELSE 'F' END grade FROM s JOIN nation ON n_nationkey = c_nationkey"""
 
 
-def target_tiers(spark, d):
-    """Nine-signal style target card: mean of present signals a pillar, and gold tiers by signal count."""
-    s = scored(spark, d)
-    signals = present("osha", "nlrb", "contracts", "size")
-    mean = weighted_mean_present([(c, 1) for c in ("osha", "nlrb", "contracts", "size")])
-    tier = F.when(signals == 4, "platinum").when((signals == 3) & (mean >= 5), "gold").when(signals == 3, "silver").when(signals >= 1, "bronze").otherwise("stub")
-    return s.groupBy("c_nationkey", tier.alias("gold_tier")).agg(F.count(F.lit(1)).alias("n"), F.max(rounded(mean)).alias("best")).withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
-
-
-TARGET_TIERS = f"""WITH {SCORED}, m AS (SELECT c_nationkey, factors, (coalesce(osha, 0) + coalesce(nlrb, 0) + coalesce(contracts, 0) + coalesce(size, 0)) / nullif(factors::DOUBLE, 0) mean FROM s)
-SELECT c_nationkey::BIGINT c_nationkey, CASE WHEN factors = 4 THEN 'platinum' WHEN factors = 3 AND mean >= 5 THEN 'gold' WHEN factors = 3 THEN 'silver' WHEN factors >= 1 THEN 'bronze' ELSE 'stub' END gold_tier, count(*) n, max({R("mean")}) best FROM m GROUP BY 1, 2"""
-
-
 def violation_flags(spark, d):
     """Recent, compound and thin-data flags, and a margin test on close elections."""
     v, e = violations(spark, d), elections(spark, d)
@@ -216,5 +116,5 @@ VIOLATION_FLAGS = f"""WITH v0 AS (SELECT l_orderkey, count(*) FILTER (l_returnfl
 e AS (SELECT o_custkey, count(*) n, count(*) FILTER (o_orderstatus = 'F') won, count(*) FILTER (o_orderstatus = 'O') lost FROM orders GROUP BY 1)
 SELECT coalesce(v.o_custkey, e.o_custkey) custkey, coalesce(li >= DATE '{AS_OF}' - INTERVAL 2 YEARS, false) recent, coalesce(w > 5, false) AND coalesce(lost > 3, false) compound, coalesce(abs(won - lost) <= 1, false) AND n > 4 AS close, p::DOUBLE penalty FROM v FULL OUTER JOIN e ON v.o_custkey = e.o_custkey"""
 
-QUERIES = {f.__name__: f for f in (scorecard_tiers, source_flags, tier_migration, win_rate_patterns, wage_outliers, union_health, target_tiers, violation_flags)}
-SQL = {"scorecard_tiers": SCORECARD_TIERS, "source_flags": SOURCE_FLAGS, "tier_migration": TIER_MIGRATION, "win_rate_patterns": WIN_RATES, "wage_outliers": WAGE_OUTLIERS, "union_health": UNION_HEALTH, "target_tiers": TARGET_TIERS, "violation_flags": VIOLATION_FLAGS}
+QUERIES = {f.__name__: f for f in (win_rate_patterns, wage_outliers, union_health, violation_flags)}
+SQL = {"win_rate_patterns": WIN_RATES, "wage_outliers": WAGE_OUTLIERS, "union_health": UNION_HEALTH, "violation_flags": VIOLATION_FLAGS}
