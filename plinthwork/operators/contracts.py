@@ -111,24 +111,23 @@ def term_years(text) -> Column:
     day = rf"({'|'.join(MONTHS)})\s+(\d{{1,2}}),?\s+(20[0-2]\d|203[0-5])"
     months = F.array(*[F.lit(m) for m in MONTHS])
 
-    def month_of(found: list[Column]) -> Column:
-        return found[1].cast("int") * 12 + F.array_position(months, F.lower(found[0])).cast("int")
+    def stamp(v: Column) -> Column:
+        month = F.array_position(months, F.lower(F.regexp_extract(v, r"^(\w+)", 1)))
+        return ((F.right(v, F.lit(4)).cast("int") * 12 + month) * 32 + F.regexp_extract(v, r"(\d+)", 1).cast("int")).cast("int")
 
-    begun = [_first(x, rf"(?is)(?={day}){_behind(STARTS)}{day}", g + 3) for g in (1, 3)]
-    done = [_first(x, rf"(?is)(?={day})(?!{_behind(STARTS)}){_behind(STOPS)}{day}", g + 3) for g in (1, 3)]
-    named = [F.regexp_extract_all(x, F.lit(rf"(?is){day}"), F.lit(g)) for g in (1, 2, 3)]
-    every = F.transform(F.arrays_zip(*[v.alias(f"v{i}") for i, v in enumerate(named)]), lambda d: (d["v2"].cast("int") * 12 + F.array_position(months, F.lower(d["v0"])).cast("int")) * 32 + d["v1"].cast("int"))
-    both = begun[0].isNotNull() & done[0].isNotNull()
-    wide = F.when(F.size(every) >= 2, F.floor(F.array_max(every) / 32) - F.floor(F.array_min(every) / 32))
-    dated = F.bround(F.when(both, month_of(done) - month_of(begun)).otherwise(wide) / 12).cast("int")
-    return F.coalesce(F.when(n.between(1, 10), n), F.when(dated.between(1, 10), dated))
+    begun, done = (once(F.regexp_extract(x, rf"(?is)(?={day}){p}{day}", 0), lambda v: F.when(v != "", stamp(v))) for p in (_behind(STARTS), rf"(?!{_behind(STARTS)}){_behind(STOPS)}"))
+    every = F.transform(F.regexp_extract_all(x, F.lit(rf"(?is){day}"), F.lit(0)), stamp)
+    ends = once(every, lambda e: F.when(F.size(e) >= 2, F.array(F.array_min(e), F.array_max(e))))
+    term = once(F.array(begun, done), lambda p: F.when(p[0].isNotNull() & p[1].isNotNull(), p).otherwise(ends))
+    dated = once(term, lambda p: F.bround((F.floor(p[1] / 32) - F.floor(p[0] / 32)) / 12).cast("int"))
+    return F.coalesce(F.when(n.between(1, 10), n), once(F.when(F.rlike(x, F.lit(rf"(?i){day}")), dated), lambda y: F.when(y.between(1, 10), y)))
 
 
 def holidays(text) -> Column:
     """Named holidays, each once, and the floating ones counted in the text; null below three named ones."""
     named = sum((F.rlike(as_col(text), F.lit(f"(?i){p}")).cast("int") for p in HOLIDAYS), F.lit(0))
     floating = _first(as_col(text), r"(?i)(\d{1,3})\s+(?:personal|floating)\s+holiday")
-    return F.when(named >= LEAST_HOLIDAYS, named + F.coalesce(floating.cast("int"), F.lit(0)))
+    return once(named, lambda n: F.when(n >= LEAST_HOLIDAYS, n + F.coalesce(floating.cast("int"), F.lit(0))))
 
 
 def holiday_rate(text) -> Column:
