@@ -113,7 +113,7 @@ def largest(rows: DataFrame, group: tuple[str, ...], value: str, item: str, k: i
 
     # Now high is the k-th value, and ``left`` of its n rows are wanted: those up to a prefix of their bytes.
     last, width = state, 0
-    state = state.withColumn("upto", F.lit(None).cast("binary"))
+    state = state.withColumns({"upto": F.lit(None).cast("binary"), "width": F.lit(0)})
     while True:
         settled, kept = Observation(), last
         state = last = cut(state, "ties", (settled, F.sum((F.col("n") > F.col("left")).cast("long")).alias("open")))
@@ -127,12 +127,12 @@ def largest(rows: DataFrame, group: tuple[str, ...], value: str, item: str, k: i
             pool = pool.where(F.expr(f"substring(`{item}`, 1, {was})") == F.col("was"))
         bins = pool.withColumn("upto", F.expr(f"substring(`{item}`, 1, {width})")).groupBy(*by, "high", "left", "upto").agg(F.count(F.lit(1)).alias("n"))
         up = bins.withColumn("sum", F.sum("n").over(at.orderBy("upto")))
-        narrowed = up.where((F.col("sum") >= F.col("left")) & (F.col("sum") - F.col("n") < F.col("left"))).select(*by, "high", (F.col("left") - F.col("sum") + F.col("n")).alias("left"), "n", "upto")
+        narrowed = up.where((F.col("sum") >= F.col("left")) & (F.col("sum") - F.col("n") < F.col("left"))).select(*by, "high", (F.col("left") - F.col("sum") + F.col("n")).alias("left"), "n", "upto", F.lit(width).alias("width"))
         state = state.where("n <= left").unionByName(narrowed)
-    limits = state.select(*by, F.col("high").alias("__kth"), F.col("upto").alias("__upto"))
-    tied = F.col("__upto").isNull() | (F.expr(f"substring(`{item}`, 1, length(__upto))") <= F.col("__upto"))
+    limits = state.select(*by, F.col("high").alias("__kth"), F.col("upto").alias("__upto"), F.col("width").alias("__width"))
+    tied = F.col("__upto").isNull() | (F.expr(f"substring(`{item}`, 1, __width)") <= F.col("__upto"))
     wanted = rows.join(limits, by, "left").where(F.col("__kth").isNull() | (F.col(value) > F.col("__kth")) | (F.col(value) == F.col("__kth")) & tied)
-    return wanted.drop("__kth", "__upto")
+    return wanted.drop("__kth", "__upto", "__width")
 
 
 def _one_sided(batches):
