@@ -22,16 +22,22 @@ ABBREVIATIONS = {
 ALIAS_TAILS = (r"\bd\s*b\s*a\b.*$", r"\bdoing business as\b.*$", r"\ba\s*k\s*a\b.*$")
 
 
-def _folds() -> tuple[str, str]:
-    """Characters with a one-letter ASCII base, and those letters."""
-    pairs = [(chr(c), b) for c in range(0xA0, 0x250) if len(b := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) == 1 and not b.isspace()]
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters of one ASCII letter each, those letters, and characters that decompose into several (ligatures, fractions)."""
+    pairs = [(chr(c), unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000]
+    one = [p for p in pairs if len(p[1]) == 1]
+    return "".join(p[0] for p in one), "".join(p[1] for p in one), {a: b for a, b in pairs if len(b) > 1}
+
+
+_ACCENTED, _PLAIN, _SEVERAL = _folds()
 
 
 def ascii_fold(x) -> Column:
-    """Accents off; what has no ASCII form is dropped."""
-    accented, plain = _folds()
-    return F.regexp_replace(F.translate(as_col(x), accented, plain), r"[^\x00-\x7F]", "")
+    """Compatibility decomposition without what is not ASCII, as in NFKD; only texts with characters of several letters are taken apart."""
+    several = F.create_map(*[F.lit(v) for kv in _SEVERAL.items() for v in kv])
+    single = F.translate(as_col(x), _ACCENTED, _PLAIN)
+    apart = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    return F.regexp_replace(F.when(F.rlike(single, F.lit(f"[{''.join(_SEVERAL)}]")), apart).otherwise(single), r"[^\x00-\x7F]", "")
 
 
 def squeeze(x) -> Column:

@@ -1,8 +1,9 @@
 """Connected components by alternating stars (Kiveris et al., "Connected Components in MapReduce and Beyond").
 
 Each round replaces the edges by stars around smaller neighbours; labels only ever move as aggregated minima
-and equi-joins, so a hub with a third of all edges is pre-aggregated on the map side and its join partition is
-split by adaptive execution. Nothing is collected but one count and one checksum a round.
+and equi-joins; a hub's minimum is pre-aggregated on the map side. In the joins a hub's edges meet in one partition,
+which adaptive execution does not split (the other side is an aggregate), so a hub costs the time of its own edges.
+Nothing is collected but one count and one checksum a round.
 """
 
 from __future__ import annotations

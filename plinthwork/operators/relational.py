@@ -107,3 +107,19 @@ def run_diff(before: DataFrame, after: DataFrame, key: str, value: str, score: s
         .when(F.col("new_score") > F.col("old_score"), "IMPROVED").when(F.col("new_score") < F.col("old_score"), "DEGRADED").otherwise("SAME")
     )
     return b.join(a, key, "full_outer").withColumn("change", kind)
+
+
+def most_specific(df: DataFrame, by: list[str], levels: list[tuple[str, Column]], code: str, lengths: tuple[int, ...], reference: DataFrame, on: tuple[str, str, str], valid: str = "true") -> DataFrame:
+    """``*by`` and the one row of ``reference`` that is most specific: by level in order, then by the longest prefix of the code.
+
+    Every row lists the (level, place, prefix) keys it may meet, from the most specific on, so that one equi-join
+    and one grouped minimum do for any number of levels. ``on`` names the reference's level, place and code
+    columns; rows that meet none, or have no code, do not come back. Equal keys of the reference: the smallest other columns.
+    """
+    level, place, key = on
+    ranked = [F.struct(F.lit(i * len(lengths) + j).alias("__rank"), F.lit(name).alias(level), where.cast("string").alias(place), F.when(F.length(code) >= n, F.substring(code, 1, n)).alias(key)) for i, (name, where) in enumerate(levels) for j, n in enumerate(lengths)]
+    keyed = df.select(*by, F.explode(F.array(*ranked)).alias("__k")).select(*by, "__k.*").where(F.col(key).isNotNull() & F.col(place).isNotNull())
+    rest = [c for c in reference.columns if c not in on]
+    met = keyed.join(reference.where(valid), list(on))
+    best = met.groupBy(*by).agg(F.min(F.struct("__rank", level, place, key, *rest)).alias("__b"))
+    return best.select(*by, *[F.col(f"__b.{c}").alias(c) for c in (level, place, key, *rest)])

@@ -190,3 +190,22 @@ def score_eligible(method, score) -> Column:
 def hellinger(p: list, q: list) -> Column:
     """Hellinger distance of two shares given as lists of columns."""
     return F.sqrt(reduce(Column.__add__, [(F.sqrt(as_col(a)) - F.sqrt(as_col(b))) ** 2 for a, b in zip(p, q)])) / F.sqrt(F.lit(2.0))
+
+
+# Employed people of the country, how far a total may go beyond, and shares beside 100.
+EMPLOYED, CEILING, SHARE_TOLERANCE = 144_540_000, 1.30, 3.0
+
+
+def implausible(workers, employed, shares: dict[str, str]) -> Column:
+    """What cannot be in a group's total and shares, as an array of texts; the country's ceiling holds where a state's is unknown.
+
+    ``employed`` is the state's number; ``shares`` maps a dimension to a column of its percentages, an empty or null one is not judged.
+    """
+    n = as_col(workers)
+    ceiling = F.floor(F.coalesce(as_col(employed), F.lit(EMPLOYED)) * CEILING)
+    told = [F.when(n <= 0, F.lit("total_workers must be > 0")), F.when((n > 0) & (n > ceiling), F.lit("total_workers exceeds ceiling"))]
+    for name, column in shares.items():
+        known = F.filter(F.coalesce(as_col(column), F.array().cast("array<double>")), lambda p: p.isNotNull())
+        total = F.aggregate(known, F.lit(0.0), lambda a, p: a + p)
+        told.append(F.when((F.size(known) > 0) & (F.abs(total - 100.0) > SHARE_TOLERANCE), F.lit(f"{name} pct sum outside")))
+    return F.array_compact(F.array(*told))

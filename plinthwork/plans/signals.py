@@ -146,17 +146,22 @@ ELIGIBLE = f"WITH m AS (SELECT ['EIN_EXACT', 'NAME_STATE_EXACT', 'CIK_BRIDGE', '
 
 
 def demographic_bounds(spark, d):
-    """What is implausible about a group's workers and shares: ceilings by state are 1.3 times what it employs."""
-    f = facts(spark, d)
-    c = f.select("k", (F.col("k") % 25).alias("state"), (F.col("k") * (F.col("k") % 40)).alias("workers"), F.when(F.col("k") % 3 != 0, (F.col("k") % 50).cast("double")).alias("women"), (F.col("k") % 47 + 50).cast("double").alias("men"))
-    ceiling = c.groupBy("state").agg((F.sum("k") * 1.3).cast("double").alias("ceiling"))
-    j = c.join(ceiling, "state", "left")
-    whole = F.col("women") + F.col("men")
-    warnings = F.array_compact(F.array(F.when(F.col("workers") <= 0, F.lit("workers must be positive")), F.when(F.col("workers") > F.col("ceiling"), F.lit("workers exceed ceiling")), F.when(F.abs(whole - 100.0) > 2.0, F.lit("gender shares do not add up"))))
-    return j.select("k", F.array_join(warnings, "; ").alias("warnings"))
+    """What is implausible about a group's workers and the shares of five dimensions; some states' numbers are unknown."""
+    k = F.col("c_custkey")
+    pct = lambda *xs: F.array(*[x.cast("double") for x in xs])
+    c = table(spark, d, "customer").select(
+        k.alias("k"), F.col("c_nationkey").alias("state"), F.when(k % 29 != 0, F.floor(F.col("c_acctbal") * (k % 40))).alias("workers"), F.when(k % 3 != 0, pct(k % 50, k % 47 + 50)).alias("gender"), pct(k % 13 + 40, F.when(k % 5 != 0, 50)).alias("race"),
+        pct(F.lit(20), k % 11 + 74).alias("hispanic"), F.when(k % 4 == 0, pct(k % 7 + 94)).otherwise(F.array().cast("array<double>")).alias("age"), pct(k % 9 * 10.5, 100 - k % 9 * 10).alias("education"),
+    )
+    employed = table(spark, d, "customer").where("c_nationkey % 8 <> 3").groupBy(F.col("c_nationkey").alias("st")).agg((F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double") / 2).alias("employed"))
+    j = c.join(employed, F.col("state") == F.col("st"), "left")
+    told = sc.implausible("workers", "employed", {"gender": "gender", "race": "race", "hispanic": "hispanic", "age_distribution": "age", "education": "education"})
+    return j.select("k", F.array_join(told, "; ").alias("warnings"))
 
 
-BOUNDS = "WITH c AS (SELECT c_custkey k, c_custkey % 25 st, c_custkey * (c_custkey % 40) w, CASE WHEN c_custkey % 3 <> 0 THEN (c_custkey % 50)::DOUBLE END a, (c_custkey % 47 + 50)::DOUBLE b FROM customer), l AS (SELECT st, (sum(k) * 1.3)::DOUBLE m FROM c GROUP BY 1) SELECT k, concat_ws('; ', CASE WHEN w <= 0 THEN 'workers must be positive' END, CASE WHEN w > m THEN 'workers exceed ceiling' END, CASE WHEN abs(a + b - 100) > 2 THEN 'gender shares do not add up' END) warnings FROM c JOIN l USING (st)"
+BOUNDS = """WITH e AS (SELECT c_nationkey st, sum(c_acctbal::DECIMAL(18,2))::DOUBLE / 2 em FROM customer WHERE c_nationkey % 8 <> 3 GROUP BY 1), c AS (SELECT c_custkey k, CASE WHEN c_custkey % 29 <> 0 THEN floor(c_acctbal * (c_custkey % 40)) END w, floor(coalesce(em, 144540000) * 1.30::DOUBLE) m FROM customer LEFT JOIN e ON c_nationkey = st)
+SELECT k, concat_ws('; ', CASE WHEN w <= 0 THEN 'total_workers must be > 0' WHEN w > m THEN 'total_workers exceeds ceiling' END, CASE WHEN k % 3 <> 0 AND abs(k % 50 + k % 47 + 50 - 100) > 3 THEN 'gender pct sum outside' END, CASE WHEN abs(k % 13 + 40 + CASE WHEN k % 5 <> 0 THEN 50 ELSE 0 END - 100) > 3 THEN 'race pct sum outside' END,
+CASE WHEN abs(20 + k % 11 + 74 - 100) > 3 THEN 'hispanic pct sum outside' END, CASE WHEN k % 4 = 0 AND abs(k % 7 + 94 - 100) > 3 THEN 'age_distribution pct sum outside' END, CASE WHEN (k % 9) * 0.5 > 3 THEN 'education pct sum outside' END) warnings FROM c"""
 
 
 def hellinger_by_segment(spark, d):

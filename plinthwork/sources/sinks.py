@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +17,16 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def publish(df: DataFrame, root: str, guard=None) -> str:
+class Superseded(RuntimeError):
+    """Another version was published first."""
+
+
+def publish(df: DataFrame, root: str, guard=None, after: int | None = None) -> str:
     """Write a new version and point to it once it is whole; readers see the old one until then.
 
-    ``guard`` may look at the written table and raise: then nothing is pointed to.
+    ``guard`` may look at the written table and raise: then nothing is pointed to. Pointers are numbered, and a
+    number is taken by one publisher only: of two at once the second takes the next number, or with ``after``
+    (the number that its table rests on) raises ``Superseded``.
     """
     spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
@@ -27,19 +34,35 @@ def publish(df: DataFrame, root: str, guard=None) -> str:
     if guard:
         guard(spark.read.parquet(f"{root}/{version}"))
     fs, Path = _fs(spark, root)
-    last = max(_pointers(spark, root), default=0)
-    out = fs.create(Path(f"{root}/CURRENT/{last + 1:012d}.{version}"), False)
-    out.close()
-    return version
+    number = (max(_pointers(spark, root), default=0) if after is None else after) + 1
+    while True:
+        try:
+            out = fs.create(Path(f"{root}/CURRENT/{number:012d}"), False)
+        except Py4JJavaError:
+            if not fs.exists(Path(f"{root}/CURRENT/{number:012d}")):
+                raise
+            if after is not None:
+                raise Superseded(f"version {number} of {root} is taken") from None
+            number += 1
+            continue
+        out.write(bytearray(version.encode()))
+        out.close()
+        return version
 
 
 def _pointers(spark: SparkSession, root: str) -> dict[int, str]:
-    """Numbered pointers: each is an empty file that names its version, so none is ever without a successor."""
+    """Numbered pointers, each with the name of its version; one that is still empty does not count yet."""
     fs, Path = _fs(spark, root)
     if not fs.exists(Path(f"{root}/CURRENT")):
         return {}
-    names = [str(f.getPath().getName()) for f in fs.listStatus(Path(f"{root}/CURRENT"))]
-    return {int(n.split(".", 1)[0]): n.split(".", 1)[1] for n in names}
+    files = [(str(f.getPath().getName()), f.getPath()) for f in fs.listStatus(Path(f"{root}/CURRENT")) if f.getLen() > 0]
+    read = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+    out = {}
+    for name, path in sorted(files, key=lambda f: f[0])[-1:]:  # the last one is all that is asked for
+        stream = fs.open(path)
+        out[int(name)] = bytes(read.toByteArray(stream)).decode()
+        stream.close()
+    return out
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
@@ -49,9 +72,15 @@ def current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{pointers[max(pointers)]}")
 
 
-def merge(change: DataFrame, root: str, keys: list[str], newest: str) -> str:
-    """Upsert into the current version as a new one."""
-    return publish(upsert(current(change.sparkSession, root), change, keys, newest), root)
+def merge(change: DataFrame, root: str, keys: list[str], newest: str, tries: int = 5) -> str:
+    """Upsert into the current version as a new one; if another version comes first, again into that."""
+    for _ in range(tries):
+        pointers = _pointers(change.sparkSession, root)
+        try:
+            return publish(upsert(current(change.sparkSession, root), change, keys, newest), root, after=max(pointers, default=0))
+        except Superseded:
+            continue
+    raise Superseded(f"{tries} versions of {root} came first")
 
 
 def current_matches(log: DataFrame) -> DataFrame:
