@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,9 +28,13 @@ def modal_weight(x) -> Column:
 
 def values(x) -> Column:
     """Dollars, percents, day counts and periods of a text, each as a list."""
-    low = F.lower(as_col(x))
+    low, none = F.lower(as_col(x)), F.array().cast("array<string>")
+    given = lambda words, found: F.when(F.isnull(as_col(x)), None).when(reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words]), found).otherwise(none)  # noqa: E731  a pattern runs where its mark is
     money = F.transform(F.regexp_extract_all(as_col(x), F.lit(DOLLARS), F.lit(1)), lambda v: F.regexp_replace(v, ",", ""))
-    return F.struct(money.alias("dollars"), F.regexp_extract_all(low, F.lit(PERCENT), F.lit(1)).alias("percents"), F.regexp_extract_all(low, F.lit(DAYS), F.lit(1)).alias("days"), F.regexp_extract_all(low, F.lit(PERIODS), F.lit(1)).alias("periods"))
+    return F.struct(
+        given(("$",), money).alias("dollars"), given(("%", "percent"), F.regexp_extract_all(low, F.lit(PERCENT), F.lit(1))).alias("percents"), given(("day",), F.regexp_extract_all(low, F.lit(DAYS), F.lit(1))).alias("days"),
+        given(("hourly", "daily", "weekly", "monthly", "annually", "per "), F.regexp_extract_all(low, F.lit(PERIODS), F.lit(1))).alias("periods"),
+    )
 
 
 def paragraphs(docs: DataFrame, id: str, text: str, least: int = 80) -> DataFrame:
@@ -141,3 +146,28 @@ def rank_text(docs: DataFrame, id: str, text: str, terms: list[str]) -> DataFram
     for i in range(len(terms)):
         out = out.where(F.col(f"__c{i}") > 0)
     return out.select(id, F.col("hits").cast("long").alias("hits"), (F.col("hits") / F.col("words")).alias("rank"))
+
+
+def categorised(parts: DataFrame, rules: dict[str, dict], text: str, title: str, parent: str | None = None, least: float = 0.50, shortest: int = 80, longest: int = 3000) -> DataFrame:
+    """``parts`` with ``category, class, rule, confidence, modal, matched`` of every pattern that fires in a paragraph.
+
+    ``rules`` maps a category to lists: ``signals`` (pattern, weight) and ``exclusions`` of headings, ``negatives``
+    of texts, and ``patterns`` (rule, class, pattern, confidence). A category is shut where the heading or the heading above it is
+    excluded, or a negative fires. Signals of the better of both headings, summed to at most 1, add .05 from .5 on
+    and take .15 below .3. Confidence is at most .99; paragraphs under ``shortest`` characters do not count, a
+    matched text over ``longest`` is cut and marked. Null headings signal nothing. The rules are laid out as one array a row.
+    """
+    t, heads = F.col(text), [F.coalesce(F.col(c), F.lit("")) for c in (title, parent) if c]
+    fires = lambda x, p: F.rlike(x, F.lit(f"(?i){p}"))
+    hits = []
+    for category, rule in rules.items():
+        closed = reduce(Column.__or__, [fires(h, p) for h in heads for p in rule.get("exclusions", [])] + [fires(t, p) for p in rule.get("negatives", [])], F.lit(False))
+        points = [F.least(F.lit(1.0), reduce(Column.__add__, [F.when(fires(h, p), w).otherwise(0.0) for p, w in rule.get("signals", [])], F.lit(0.0))) for h in heads]
+        score = F.greatest(*points) if len(points) > 1 else points[0]
+        adjust = F.when(score >= 0.5, 0.05).when(score >= 0.3, 0.0).otherwise(-0.15)
+        for name, kind, pattern, confidence in rule["patterns"]:
+            value = F.least(F.lit(0.99), F.lit(confidence) + adjust)
+            hits.append(F.when(fires(t, pattern) & ~closed & (value >= least), F.struct(F.lit(category).alias("category"), F.lit(kind).alias("class"), F.lit(name).alias("rule"), value.alias("confidence"))))
+    found = parts.where(F.length(F.trim(t)) >= shortest).withColumn("__m", F.explode(F.array_compact(F.array(*hits))))
+    cut = F.when(F.length(t) > longest, F.concat(F.substring(t, 1, longest - 3), F.lit("..."))).otherwise(t)
+    return found.select(*parts.columns, "__m.category", "__m.class", "__m.rule", "__m.confidence", modal_weight(text).alias("modal"), cut.alias("matched"))

@@ -19,9 +19,8 @@ def gower_topk(spark, d):
     p = table(spark, d, "part")
     f = rel.min_max(p.select("p_partkey", "p_brand", "p_type", F.log1p("p_retailprice").alias("price"), F.when(F.col("p_size") % 7 == 0, None).otherwise(F.col("p_size").cast("double")).alias("size")), ["price", "size"])
     f = f.select("p_partkey", "p_brand", "p_type", "price_scaled", "size_scaled")
-    diff = lambda c: (F.abs(F.col(f"{c}_1") - F.col(f"{c}_2")), F.col(f"{c}_1").isNotNull() & F.col(f"{c}_2").isNotNull())
-    distance = rounded(st.gower([(*diff("price_scaled"), 2.0), (*diff("size_scaled"), 1.5), (st.code_distance("p_type_1", "p_type_2"), F.lit(True), 1.0)]), 6)
-    return st.nearest_in_blocks(f, "p_partkey", "p_brand", distance, 5).withColumn("place", F.col("place").cast("long"))
+    features = [("price_scaled", "numeric", 2.0), ("size_scaled", "numeric", 1.5), ("p_type", "code", 1.0)]
+    return st.gower_nearest(f, "p_partkey", "p_brand", features, 5).withColumn("place", F.col("place").cast("long"))
 
 
 GOWER = f"""WITH b AS (SELECT p_partkey, p_brand, p_type, ln(1 + p_retailprice) price, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size::DOUBLE END AS size FROM part), f AS (SELECT p_partkey, p_brand, p_type, (price - min(price) OVER ()) / nullif(max(price) OVER () - min(price) OVER (), 0) p, (size - min(size) OVER ()) / nullif(max(size) OVER () - min(size) OVER (), 0) s FROM b),

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plinthwork.functions.storage import table
+from plinthwork.functions.numbers import rounded
 from plinthwork.operators import contents as ct
+from plinthwork.operators import textmining as tm
+from plinthwork.plans.scorecards import R
 
 TITLES = "Union Recognition;Hours of Work;Wage Rates;Paid Holidays;Grievance Procedure;Seniority Rights;Civil Leave;Health Insurance;Final Provisions".split(";")
 ROMAN = "I II III IV V VI".split()
@@ -58,5 +61,38 @@ p AS (SELECT *, length('Agreement number ' || k) + 1 + {len("TABLE OF CONTENTS")
 s AS (SELECT k, j::VARCHAR AS number, title, NULL AS parent, begins, j + 2 AS page, main + CASE WHEN sub THEN {len("1. Special Terms") + len("They hold as well.") + 2} ELSE 0 END size FROM p UNION ALL SELECT k, '1.1', 'Special Terms', '1', begins + main, 3, {len("1. Special Terms") + len("They hold as well.") + 2} FROM p WHERE sub)
 SELECT k, number, title, parent, begins::BIGINT AS begins, coalesce(lead(begins) OVER (PARTITION BY k ORDER BY begins), max(begins + size) OVER (PARTITION BY k))::BIGINT AS ends, page::BIGINT AS first_page, page::BIGINT AS last_page FROM s"""
 
-SQL = {"contents_entries": ENTRIES, "contract_sections": SECTIONS}
+#: Rules of three categories: headings that speak for or against one, texts that rule it out, and what is looked for.
+RULES = {
+    "wages": {"signals": [("wage", 0.6), ("rates?", 0.2)], "exclusions": ["grievance"], "negatives": ["no increase"], "patterns": [("raise", "increase", r"shall be increased", 0.80), ("hourly", "rate", r"\$\d+", 0.55)]},
+    "leave": {"signals": [("leave", 0.4), ("holidays?", 0.3)], "patterns": [("days", "time_off", r"\d+ days", 0.70), ("may", "discretion", "may grant", 0.60)]},
+    "hours": {"signals": [("hours", 0.5)], "exclusions": ["seniority"], "patterns": [("week", "hours", "hours a week", 0.97)]},
+}
+_PARTS = ("Pay shall be increased by $2 an hour", "The employer may grant 12 days of leave", "The week has 40 hours a week", "There is no increase of $5 here")
+
+
+def paragraph_rules(spark, d):
+    """Rules over the paragraphs of composed sections; fragments are joined to their paragraph first."""
+    k, j = F.col("o_orderkey"), F.col("o_custkey")
+    long_ = ", which both sides have agreed upon after a long talk about it in good faith"
+    pick = lambda i: F.element_at(F.array(*[F.lit(x) for x in _PARTS]), (((k + i * j) % 4) + 1).cast("int"))
+    text = F.concat(pick(0), F.lit(long_ + ".\n\n"), F.when(k % 3 == 0, "and this goes on.\n\n").otherwise(""), pick(1), F.lit(long_ + "."))
+    title = F.element_at(F.array(*[F.lit(t) for t in TITLES]), (k % 9 + 1).cast("int"))
+    o = table(spark, d, "orders").select(k.alias("o_orderkey"), text.alias("text"), title.alias("title"), F.when(k % 2 == 0, F.element_at(F.array(*[F.lit(t) for t in TITLES]), (j % 9 + 1).cast("int"))).alias("parent"))
+    found = tm.categorised(ct.whole_paragraphs(o, ["o_orderkey", "title", "parent"], "text"), RULES, "paragraph", "title", "parent")
+    return found.select("o_orderkey", F.col("start").cast("long").alias("begins"), "category", "class", "rule", rounded("confidence").alias("confidence"), "modal", F.length("matched").cast("long").alias("size"))
+
+
+_SCORE = lambda *ps: "greatest(" + ", ".join("least(1.0::DOUBLE, " + " + ".join(f"CASE WHEN regexp_matches(lower(coalesce({h}, '')), '{p}') THEN {w}::DOUBLE ELSE 0 END" for p, w in ps) + ")" for h in ("title", "parent")) + ")"
+_ADJUST = lambda s: f"CASE WHEN {s} >= 0.5 THEN 0.05 WHEN {s} >= 0.3 THEN 0.0 ELSE -0.15 END::DOUBLE"
+_NOT = lambda p: f"NOT (contains(lower(coalesce(title, '')), '{p}') OR contains(lower(coalesce(parent, '')), '{p}'))"
+_LONG = ", which both sides have agreed upon after a long talk about it in good faith"
+_LIST = "[" + ", ".join(f"'{x}'" for x in _PARTS) + "]"
+PARAGRAPH_RULES = f"""WITH o AS (SELECT o_orderkey, {_list(TITLES)}[o_orderkey % 9 + 1] title, CASE WHEN o_orderkey % 2 = 0 THEN {_list(TITLES)}[o_custkey % 9 + 1] END parent, {_LIST}[o_orderkey % 4 + 1] || '{_LONG}.' a, {_LIST}[(o_orderkey + o_custkey) % 4 + 1] || '{_LONG}.' b FROM orders),
+p AS (SELECT o_orderkey, title, parent, 0 begins, a || CASE WHEN o_orderkey % 3 = 0 THEN ' and this goes on.' ELSE '' END t FROM o UNION ALL SELECT o_orderkey, title, parent, length(a) + 2 + CASE WHEN o_orderkey % 3 = 0 THEN 19 ELSE 0 END, b FROM o),
+s AS (SELECT *, {_ADJUST(_SCORE(("wage", 0.6), ("rates?", 0.2)))} w, {_ADJUST(_SCORE(("leave", 0.4), ("holidays?", 0.3)))} l, {_ADJUST(_SCORE(("hours", 0.5)))} h, {_NOT("grievance")} AND NOT contains(t, 'no increase') ow, {_NOT("seniority")} oh FROM p),
+m AS (SELECT *, 'wages' category, 'increase' AS "class", 'raise' AS rule, 0.80::DOUBLE + w c FROM s WHERE ow AND contains(t, 'shall be increased') UNION ALL SELECT *, 'wages', 'rate', 'hourly', 0.55::DOUBLE + w FROM s WHERE ow AND regexp_matches(t, '\\$\\d+')
+UNION ALL SELECT *, 'leave', 'time_off', 'days', 0.70::DOUBLE + l FROM s WHERE regexp_matches(t, '\\d+ days') UNION ALL SELECT *, 'leave', 'discretion', 'may', 0.60::DOUBLE + l FROM s WHERE contains(t, 'may grant') UNION ALL SELECT *, 'hours', 'hours', 'week', 0.97::DOUBLE + h FROM s WHERE oh AND contains(t, 'hours a week'))
+SELECT o_orderkey, begins::BIGINT AS begins, category, "class", rule, {R('least(0.99::DOUBLE, c)')} confidence, (CASE WHEN contains(t, 'shall') THEN 0.90 WHEN contains(t, 'may') THEN 0.40 ELSE 0.50 END)::DOUBLE modal, length(t)::BIGINT AS size FROM m WHERE least(0.99::DOUBLE, c) >= 0.5"""
+
+SQL = {"contents_entries": ENTRIES, "contract_sections": SECTIONS, "paragraph_rules": PARAGRAPH_RULES}
 QUERIES = {name: globals()[name] for name in SQL}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plinthwork.plans import analytics, contents, contracts, estimators, forms, linkage, lookups, masters, matching, relational, rollups, scorecards, signals, textual, unified
+from plinthwork.plans import analytics, contents, contracts, estimators, filings, forms, linkage, lookups, masters, matching, models, relational, rollups, scorecards, signals, textual, unified
 
-PACKS = [unified, scorecards, relational, matching, analytics, textual, rollups, signals, contracts, forms, linkage, lookups, masters, contents, estimators, lookups]
+PACKS = [unified, scorecards, relational, matching, analytics, textual, rollups, signals, contracts, forms, linkage, lookups, masters, contents, estimators, lookups, models, filings]
 
 
 def queries() -> dict:

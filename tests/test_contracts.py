@@ -10,6 +10,7 @@ from plinthwork.functions import text as tx
 from plinthwork.operators import contents as ct
 from plinthwork.operators import contracts as cn
 from plinthwork.operators import estimators as es
+from plinthwork.operators import filings as fl
 from plinthwork.operators import fulltext as ft
 from plinthwork.operators import relational as rel
 from plinthwork.operators import scoring as sc
@@ -175,3 +176,32 @@ def test_two_publishers_at_once_lose_nothing(spark, tmp_path):
     for j in jobs:
         j.join()
     assert {r.id for r in sinks.current(spark, root).collect()} == {0, 1, 2, 3}
+
+
+NAMES = ["Jane Q. Doe", "Adam Portnoy", "Mary Ann de la Cruz", "Thomas E. Capasse Jr.", "Bo Li"]
+
+
+def test_grids_spread_spans_and_keep_nested_tables_apart(spark):
+    html = "<table><tr><td rowspan=2>a<td colspan=2>b</tr><tr><td>c<td><table><tr><td>in</table></tr></table>"
+    tables = fl.read_html(html).all("table")
+    assert fl.grid(tables[0]) == [["a", "b", "b"], ["a", "c", "in"]] and fl.grid(tables[1]) == [["in"]]
+    assert fl.grid(fl.read_html("<table></table>").all("table")[0]) == [] and fl.read_html(None).all("table") == []
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<p>none</p>")], "id long, html string")
+    got = sorted(map(tuple, fl.table_cells(pages, "id", "html").collect()))
+    assert got[:3] == [(1, 0, 0, 0, "a"), (1, 0, 0, 1, "b"), (1, 0, 0, 2, "b")] and len(got) == 7
+
+
+def test_directors_of_each_shape():
+    small = "".join(f"<table><tr><td></td></tr><tr><td>{n} age {50 + i} director since {2000 + i} Independent. Audit Committee</td></tr></table>" for i, n in enumerate(NAMES))
+    summary = "<table><tr><td></td></tr><tr><th>Name<th>Age<th>Year First Elected<th>Independent</tr>" + "".join(f"<tr><td>Mr. {n} (3)<td>{50 + i}<td>{2000 + i}<td>X</tr>" for i, n in enumerate(NAMES)) + "<tr><td>Total<td>9<td>9<td></tr></table>"
+    text = "<p>Directors: " + " ".join(f"{n} (age {50 + i}) has led firms. Director since {2000 + i}." for i, n in enumerate(NAMES)) + "</p>"
+    beside = "<table>" + "".join(f"<tr><td>{n} President</td><td>Age: {50 + i} Director Since: May {2000 + i} Independent: No and more words to fill it up</td></tr>" for i, n in enumerate(NAMES)) + "</table>" + "<table><tr><td>x</td></tr></table>" * 2
+    heads = "".join(f"<h3>{n}</h3><div>Age: {50 + i} Director Since: {2000 + i} and more words to fill this block up</div>" for i, n in enumerate(NAMES))
+    plain = [n.rstrip(".") for n in NAMES]
+    for html, shape in ((small, "small_table"), (summary, "summary"), (text, "paragraph"), (beside, "block"), (heads, "block")):
+        got = fl.directors(html)
+        assert [(d.name, d.age, d.since, d.shape) for d in got] == [(n, 50 + i, 2000 + i, shape) for i, n in enumerate(plain)], shape
+    fees = "<table><tr><th>Name<th>Fees Earned<th>Total</tr>" + "".join(f"<tr><td>{n}<td>50,000<td>${i + 1}00,500</tr>" for i, n in enumerate(NAMES)) + "</table>"
+    merged = fl.directors(text + fees)
+    assert [(d.name, d.age, d.compensation) for d in merged] == [(n, 50 + i, (i + 1) * 100_000 + 500.0) for i, n in enumerate(plain)]
+    assert [d.shape for d in fl.directors(fees)] == ["compensation"] * 5 and fl.directors("") == [] and fl.directors("<p>Audit Committee (age 50)</p>") == []

@@ -11,6 +11,7 @@ from plinthwork.functions import similarity as sim
 from plinthwork.operators import linkage as lk
 from plinthwork.operators import masters as ms
 from plinthwork.operators import matching as m
+from plinthwork.operators import scenarios as sn
 
 NAME, CITY = lk.Comparison("name", "jaro_winkler", (0.95, 0.88)), lk.Comparison("city", "levenshtein", (1, 2))
 STATE = lk.Comparison("state", frequency=True)
@@ -155,3 +156,27 @@ def test_identity_graph_parts_at_conflicts(spark):
     bridge = spark.createDataFrame([(1, 4, "name"), (4, 5, "name"), (5, 3, "name")], "a long, b long, tier string")
     got = {r.node: r.family for r in ms.crosswalk(nodes, bridge, {"name": 0}).collect()}
     assert got[1] == 1 and got[3] == 3 and got[4] == got[5] == 4
+
+
+def test_the_surest_tier_wins(spark):
+    kind = "id long, name string, ein string, city string, zip string, state string, street_no string"
+    sources = m.with_keys(spark.createDataFrame([(1, "Acme Steel", "E1", "york", None, "NY", "5"), (2, "Blue River Svcs", None, "york", None, "NY", "9"), (3, "Cedar", None, None, None, None, None), (4, "Delta Glas", None, "troy", None, "NY", None)], kind))
+    targets = m.with_keys(spark.createDataFrame([(10, "Acme Steel", None, "york", None, "NY", "5"), (11, "Zeta", "E1", None, None, "OH", None), (12, "Blue River Group", None, "york", None, "NY", "9"), (13, "Blue River", None, "york", None, "NY", "9"), (14, "Delta Glass", None, None, None, "NY", None)], kind))
+    got = {r.id: (r.target_id, r.tier, r.method, r.confidence) for r in sn.scenario_match(sources, targets).collect()}
+    assert got == {1: (11, 1, "EIN", "HIGH"), 2: (13, 3, "ADDRESS", "HIGH"), 4: (14, 5, "FUZZY", "LOW")}
+    assert sn.scenario_match(sources.limit(0), targets).count() == 0
+
+
+def test_orphans_are_matched_anew(spark):
+    orphans = spark.createDataFrame(
+        [(1, "Acme Steel Inc", "acme steel inc", "acme steel", "NY", "10001", "york"), (2, "Fund 3", "fund 3", "fund", "NY", None, None), (3, "Blue River", "blue river", "blue river", "NY", "10001", None), (4, None, None, None, "NY", None, None), (5, "Nobody Here", "nobody here", "nobody here", "OH", None, None)],
+        "id long, name string, name_standard string, name_aggressive string, state string, zip string, city string",
+    )
+    records = spark.createDataFrame(
+        [("w1", "whd", "Acme Steel", "ACME STEEL", "NY", "10001", "york", None), ("s1", "sam", "ACME STEEL INC", "acme steel inc", "NY", "10001", "york", None), ("o1", "osha", "Fund", "fund", "NY", None, None, None), ("n1", "990", "Blue River", "blue river", "NY", "99999", None, "E7"), ("o2", "osha", "Blue River", "blue river", "NY", None, None, None)],
+        "id string, source string, name string, name_norm string, state string, zip string, city string, ein string",
+    )
+    best, review = sn.rematch_orphans(orphans, records)
+    got = {r.id: (r.target_id, r.method, r.score) for r in best.collect()}
+    assert got[1] == ("s1", "NAME_STANDARD_STATE_ZIP_EXACT", 1.0) and got[3] == ("o2", "NAME_STANDARD_STATE_EXACT", 0.98)
+    assert 4 not in got and 5 not in got and all(r.tier == "tier_C_review" for r in review.collect())

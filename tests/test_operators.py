@@ -130,6 +130,21 @@ def test_gower_and_raking(spark):
     assert {r.a: pytest.approx(r.t, abs=0.01) for r in out.groupBy("a").agg(F.sum("value").alias("t")).collect()} == {"r": 40.0, "s": 60.0}
 
 
+def test_gower_on_pairs_of_parts_is_that_of_columns(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, r.choice("ab"), r.choice([None, r.random()]), r.choice([0.1, 0.5, None]), r.choice(["311111", "3111", "31", "42", "", None]), r.choice(["x", "y", None])) for i in range(120)] + [(500, "c", 0.1, 0.1, "1", "x"), (501, None, 0.1, 0.1, "1", "x")]
+    df = spark.createDataFrame(rows, "id long, block string, u double, v double, code string, kind string")
+    valid = lambda c: F.col(f"{c}_1").isNotNull() & F.col(f"{c}_2").isNotNull()
+    parts = [*((F.abs(F.col(f"{c}_1") - F.col(f"{c}_2")), valid(c), w) for c, w in (("u", 2.0), ("v", 1.5))), (st.code_distance("code_1", "code_2"), F.lit(True), 1.0), ((F.col("kind_1") != F.col("kind_2")).cast("double"), valid("kind"), 0.5)]
+    want = sorted(map(tuple, st.nearest_in_blocks(df, "id", "block", F.floor(st.gower(parts) * 1e6 + 0.5) / 1e6, 4).collect()))
+    features = [("u", "numeric", 2.0), ("v", "numeric", 1.5), ("code", "code", 1.0), ("kind", "exact", 0.5)]
+    for part in (1000, 7):
+        assert sorted(map(tuple, st.gower_nearest(df, "id", "block", features, 4, part).collect())) == want
+    assert st.gower_nearest(df.limit(0), "id", "block", features).count() == 0
+
+
 def test_nearest_in_large_blocks_are_those_of_all_rows(spark):
     n = 12_001
     rows = spark.range(n).selectExpr("id", "'hot' AS block", f"(id * 7919) % {n} AS x").unionByName(spark.createDataFrame([(n, "two", 0), (n + 1, "two", 0), (n + 2, None, 0)], "id long, block string, x long"))
