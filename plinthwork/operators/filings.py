@@ -159,7 +159,7 @@ def from_small_tables(root: Node) -> list[Director]:
         text = " ".join(" ".join(dict.fromkeys(r)) for r in rows).replace("|", " ")
         text = " ".join(text.split())
         age, since, name = AGE.search(text), SINCE.search(text), person(text)
-        if age and since and name:
+        if age and since and name and len(AGE.findall(text)) == 1:  # more ages are more directors
             tail = text[max(age.end(), since.end()) :].strip(" ,;.|")
             out.append(Director(name, int(age[1]), int(since[1]), tail[:400] or None, True if re.search(r"\bindependent\b", text, re.I) else None, None, set(_named(text)), "small_table"))
     return out

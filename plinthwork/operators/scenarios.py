@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinthwork.functions import similarity as sim
+from plinthwork.functions.storage import cut
 from plinthwork.operators.matching import classify_pairs
 from plinthwork.operators.relational import first_by
 
@@ -86,7 +87,8 @@ def rematch_orphans(orphans: DataFrame, records: DataFrame, tiers: tuple[Tier, .
         "id", "target_id", method.alias("method"), score.alias("base"), F.col("source_name").alias("name_1"), F.col("target_name").alias("name_2"), F.lit("f7").alias("source_1"), F.col("target_source").alias("source_2"), F.col("source_zip").alias("zip_1"), F.col("target_zip").alias("zip_2"),
         F.col("source_city").alias("city_1"), F.col("target_city").alias("city_2"), F.lit(None).cast("string").alias("ein_1"), F.col("target_ein").alias("ein_2"), F.greatest(standard, F.lit(1.0)).alias("sim"),
     )
-    judged = classify_pairs(pairs).where("tier <> 'tier_series_demoted'")
+    # Written on both sides of the rules: each rule reads its inputs, and what follows its tier, more than once.
+    judged = cut(classify_pairs(cut(pairs, "orphan-pairs")), "orphans-judged").where("tier <> 'tier_series_demoted'")
     lifted = F.when(F.col("tier") == "tier_A_auto_merge", F.greatest("base", F.lit(CONFIRMED))).when(F.col("tier") == "tier_B_high_conf", F.greatest("base", F.lit(PROBABLE))).otherwise(F.col("base"))
     scored = judged.select("id", "target_id", F.col("source_2").alias("source"), "method", lifted.alias("score"), "tier", "rule")
     place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in order]), F.col("source")), F.lit(0)), F.lit(len(order) + 1))
