@@ -204,4 +204,9 @@ def test_directors_of_each_shape():
     fees = "<table><tr><th>Name<th>Fees Earned<th>Total</tr>" + "".join(f"<tr><td>{n}<td>50,000<td>${i + 1}00,500</tr>" for i, n in enumerate(NAMES)) + "</table>"
     merged = fl.directors(text + fees)
     assert [(d.name, d.age, d.compensation) for d in merged] == [(n, 50 + i, (i + 1) * 100_000 + 500.0) for i, n in enumerate(plain)]
-    assert [d.shape for d in fl.directors(fees)] == ["compensation"] * 5 and fl.directors("") == [] and fl.directors("<p>Audit Committee (age 50)</p>") == []
+    assert [d.shape for d in fl.directors(fees)] == ["compensation"] * 5 and fl.directors("") == [] and fl.directors(None) == []
+
+
+def test_names_that_no_person_has_are_left_out(spark):
+    filings = spark.createDataFrame([(1, "<p>Audit Committee (age 50) and then Bo Li (age 61) came.</p>"), (2, None), (3, "")], "id long, html string")
+    assert [(r.id, r.name, r.age) for r in fl.filed_directors(filings, "id", "html").collect()] == [(1, "Bo Li", 61)]
