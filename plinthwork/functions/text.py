@@ -37,7 +37,8 @@ def ascii_fold(x) -> Column:
     several = F.create_map(*[F.lit(v) for kv in _SEVERAL.items() for v in kv])
     single = F.translate(as_col(x), _ACCENTED, _PLAIN)
     apart = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
-    return F.regexp_replace(F.when(F.rlike(single, F.lit(f"[{''.join(_SEVERAL)}]")), apart).otherwise(single), r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(F.when(F.rlike(single, F.lit(f"[{''.join(_SEVERAL)}]")), apart).otherwise(single), r"[^\x00-\x7F]", "")
+    return F.when(F.rlike(as_col(x), F.lit(r"[^\x00-\x7F]")), folded).otherwise(as_col(x))  # most names are ASCII
 
 
 def squeeze(x) -> Column:
