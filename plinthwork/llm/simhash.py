@@ -131,7 +131,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     keys = [F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(m))) for v, m in enumerate(signed)]
     buckets = fps.select("fp", F.explode(F.array(*keys)).alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = buckets.join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") / block).cast("int"))
+    # Planned by its own hint: the estimate of exploded rows is that of the rows before, which would have them all broadcast.
+    sized = buckets.hint("merge").join(sizes, "bucket").withColumn("k", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int")
     dealt = sized.withColumn("own", own).select("fp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     grouped = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp")

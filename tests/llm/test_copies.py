@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from plinthwork.functions.storage import cut
 from plinthwork.llm import passages, repeats, simhash, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, component_id string, body string, node string"
@@ -81,6 +82,12 @@ def test_simhash_blocks_of_a_large_bucket_lose_no_link(spark):
     assert got == components(values, [(a, b) for a in values for b in values if a < b and bin(a ^ b).count("1") <= 4])
 
 
+def test_simhash_buckets_are_not_broadcast(spark):
+    fps = cut(spark.range(1000).selectExpr("xxhash64(id) fp"), "fps")  # a small file: its size is all that Spark knows of the rows exploded from it
+    plan = simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_one_document_of_each_group_stays(spark, corpus):
     rows = [*corpus, (3, corpus[3][1]), (3, corpus[3][1]), (None, corpus[9][1])]
     kept = simhash.one_of_each_group(frame(spark, rows))
