@@ -290,6 +290,15 @@ def test_a_hot_url_does_not_fill_the_sample(spark):
     assert len(got) == len(pages)
 
 
+def test_pipeline_near_duplicates_broadcast_no_buckets(spark):
+    docs = spark.range(40_000).selectExpr("id doc_id", "concat_ws(' ', hex(xxhash64(id, 1)), hex(xxhash64(id, 2)), hex(xxhash64(id, 3))) text")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 36 << 20)  # as the driver's memory bounds it at size; a table of few rows may take a page of 32 MB
+    try:
+        assert corpus_pipeline.drop_near_duplicates(spark, docs, SF).count() > 39_000
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen, sets = docs, {}
