@@ -68,27 +68,32 @@ class RunIndex:
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling from eight bytes; only rows that are still tied are sorted again."""
+    """Suffix array by prefix tripling from eight bytes; only rows that are still tied are sorted again."""
     n = len(t)
     padded = np.concatenate((t, np.zeros(8, np.uint8)))
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n]
     order = np.argsort(key)
-    slots, key, rank, h = np.arange(n), key[order], np.empty(n, np.int64), 8
+    slots, at, key, h = np.arange(n), order, key[order], 8
+    rank = np.concatenate((np.empty(n, np.int64), -np.arange(17)))  # past the end: of suffixes tied by the zeros after them the shorter one is less
+    wide = n + 20
     while True:
         same = key[1:] == key[:-1]
-        rank[order[slots]] = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), slots, 0))
-        slots = slots[np.append(same, False) | np.append(False, same)]
-        if not len(slots):
+        new = np.concatenate(([True], ~same))
+        rank[at] = np.maximum.accumulate(np.where(new, slots, 0)) + 1
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(tied):
             return order
-        at = order[slots]
-        left = n - at - h  # at less than 0 the suffix is the shorter one of those that are tied
-        second = np.where(left > 0, rank[np.minimum(at + h, n - 1)] + 1, np.where(left < 0, left - 1, 0))
-        key = rank[at] * (n + h + 4) + second + h + 2
+        slots, at = slots[tied], at[tied]
+        key = np.cumsum(new[tied])  # the number of the group of ties
+        thrice = (int(key[-1]) + 1) * wide * wide < 1 << 63
+        for k in (1, 2)[: 1 + thrice]:
+            key = key * wide + rank[np.minimum(at + k * h, n + 16)] + 18
         by = np.argsort(key)
-        order[slots], key = at[by], key[by]
-        h *= 2
+        at, key = at[by], key[by]
+        order[slots] = at
+        h *= 2 + thrice
 
 
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -258,11 +263,13 @@ def _index(length, reach):
             size += len(piece) + 1
             last = (r[4:6], start + len(piece)) if n == 1 else None
         statistics, found = RunIndex(b"".join(text)).statistics, []
-        for (_, a, c, at, _, _, _, base, n, piece), place in zip(rows, places):
-            if n == 1:
-                for kind, far in enumerate((length, reach) if reach > length else (length,), 1):
-                    if runs := _runs(statistics[place : place + max(0, min(base, len(piece) - far + 1))] >= far):
-                        found.append((a, c, kind, [at + x for i, j in runs for x in (i, j - 1 + far)]))
+        for kind, far in enumerate((length, reach) if reach > length else (length,), 1):
+            begin = np.array(places)
+            end = begin + np.array([max(0, min(r[7], len(r[9]) - far + 1)) if r[8] == 1 else 0 for r in rows])
+            hits = np.concatenate(([0], np.cumsum(statistics >= far)))
+            for row in np.flatnonzero(hits[end] > hits[begin]).tolist():
+                _, a, c, at, *_ = rows[row]
+                found.append((a, c, kind, [at + x for i, j in _runs(statistics[begin[row] : end[row]] >= far) for x in (i, j - 1 + far)]))
         return _marks(found)
 
     def run(batches):

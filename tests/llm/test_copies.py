@@ -88,6 +88,15 @@ def test_simhash_buckets_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_suffix_order_sorts_few_times(monkeypatch):
+    rng, sorts, sort = random.Random(4), [], np.argsort
+    monkeypatch.setattr(repeats.np, "argsort", lambda *a, **k: sorts.append(1) or sort(*a, **k))
+    for text in (b"\0" * 40, b"a\0" * 30 + b"\0", bytes(rng.choice(b"ab\0") for _ in range(500)), bytes(rng.choice(b"abcdef") for _ in range(3000)) * 2):
+        sorts.clear()
+        assert repeats.suffix_order(np.frombuffer(text, np.uint8)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+    assert len(sorts) <= 7  # for ties of 3,000 bytes
+
+
 def test_one_document_of_each_group_stays(spark, corpus):
     rows = [*corpus, (3, corpus[3][1]), (3, corpus[3][1]), (None, corpus[9][1])]
     kept = simhash.one_of_each_group(frame(spark, rows))
