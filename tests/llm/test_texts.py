@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -299,6 +300,26 @@ def test_pipeline_near_duplicates_broadcast_no_buckets(spark):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+def test_pipeline_hands_texts_over_in_small_batches(spark):
+    """An executor's memory holds several batches of texts at once; a bound that the session has set stays."""
+    docs = spark.range(0, 3_000, 1, 1).selectExpr("id doc_id", "repeat(hex(xxhash64(id)), 500) text", "'en' lang", "'s' source", "8000L n_chars")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        for step, stage in corpus_pipeline.STAGES:
+            for bound, most in ((None, 5 << 20), (1 << 20, 2 << 20)):
+                spark.conf.unset(name) if bound is None else spark.conf.set(name, bound)
+                stage(spark, docs.limit(5), SF)
+                found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+                assert sum(found) > 20 << 20 and max(found) < most, step
+    finally:
+        spark.conf.unset(name)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen, sets = docs, {}
