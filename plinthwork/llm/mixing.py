@@ -119,7 +119,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         plan.append((r["__source"], r["s"], float(target[r["__source"]]), int(math.floor(ratio)), ratio - math.floor(ratio), max(1, math.ceil(r["n"] / block))))
     table = spark.createDataFrame(plan, "__src string, __total long, __target double, __base int, __p double, __blocks int")
     schema = T.StructType([*(f for f in sized.schema.fields if f.name != "__source"), *table.schema.fields, T.StructField("__more", T.IntegerType())])
-    units = sized.join(table, F.col("__source").eqNullSafe(F.col("__src")))
+    units = sized.join(F.broadcast(table), F.col("__source").eqNullSafe(F.col("__src")))  # of unknown size to Spark, which would broadcast the documents instead
     order = F.xxhash64(F.lit(SEED), "__id", "__size", *[f"__k_{c}" for c in keep])
     units = units.select(*schema.names[:-1], order.alias("__order"))
     schema = T.StructType([*schema.fields[:-1], T.StructField("__order", T.LongType()), schema.fields[-1]])
@@ -156,6 +156,6 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("__k1"), F.xxhash64(text, source).alias("__k2")]
     keyed = docs.select("*", *key)
     taken = mix(keyed, doc_id, text, source, keep=("__k1", "__k2")).groupBy("__k1", "__k2").agg(F.sum("copies").cast("int").alias("__n"), F.count(F.lit(1)).alias("__rows")).where("__n > 0")
-    once = keyed.join(taken, ["__k1", "__k2"])
+    once = keyed.hint("merge").join(taken, ["__k1", "__k2"])  # either side has about a row a document: neither is broadcast, however small its file
     each = once.where("__rows = 1").unionByName(once.where("__rows > 1").dropDuplicates(["__k1", "__k2"]))
     return each.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)

@@ -141,13 +141,17 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, radius: int, keep: tuple[str, ...]) -> DataFrame:
-    """``doc_id, *keep, fp, label, component_id``; ``label`` is one fingerprint of the row's group."""
+    """``doc_id, *keep, fp, label, component_id``; ``label`` is one fingerprint of the row's group.
+
+    Every row finds its match, so left joins give what inner ones would, and never broadcast the left side: rows of
+    copies take some five bytes each in a file, by which a join is planned, and twenty times that in memory.
+    """
     printed = cut(fingerprints(docs, text, (doc_id, *keep)), "fingerprints")
     fps = printed.groupBy("fp").agg(F.min(doc_id).alias("low"))
     parts = connected_components(links(fps.select("fp"), radius))
     labelled = cut(fps.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("label")), "labels")
     lows = cut(labelled.groupBy("label").agg(F.min("low").alias("component_id")), "lows")  # written: the join on a hot label can be split
-    return printed.join(labelled.join(lows, "label").select("fp", "label", "component_id"), "fp")
+    return printed.join(labelled.join(lows, "label", "left").select("fp", "label", "component_id"), "fp", "left")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -166,5 +170,5 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     keyed = docs.select("*", *key)
     rows = _grouped(keyed, doc_id, text, radius, ("__k1", "__k2")).groupBy("label", "__k1", "__k2").agg(F.count(F.lit(1)).alias("n"), F.max(F.col(doc_id).isNull()).alias("unnamed"))
     best = rows.groupBy("label").agg(F.min(F.struct("unnamed", "__k1", "__k2", "n")).alias("w")).select("w.__k1", "w.__k2", F.col("w.n").alias("__n"))
-    once = keyed.join(best, ["__k1", "__k2"])
-    return once.where("__n = 1").unionByName(once.where("__n > 1").dropDuplicates(["__k1", "__k2"])).select(*docs.columns)
+    once, more = (keyed.join(best.where(n), ["__k1", "__k2"], "left_semi") for n in ("__n = 1", "__n > 1"))  # texts are never the side that is broadcast
+    return once.unionByName(more.dropDuplicates(["__k1", "__k2"])).select(*docs.columns)

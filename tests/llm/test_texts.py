@@ -300,6 +300,17 @@ def test_pipeline_near_duplicates_broadcast_no_buckets(spark):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+@pytest.mark.parametrize("stage, least", [("simhash", 7), ("mixing", 700_000)])
+def test_pipeline_broadcasts_no_table_of_copies(spark, stage, least):
+    """Copies take little room in a file, by which joins are planned, and much in the driver's memory."""
+    docs = spark.range(500_000).selectExpr("id doc_id", "concat('this is copy ', repeat(char(97 + id % 7), 40)) text", "'en' lang", "concat('s', id % 3) source", "53L n_chars")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 36 << 20)  # as above
+    try:
+        assert least <= dict(corpus_pipeline.STAGES)[stage](spark, docs, SF).count() <= least * 2
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_pipeline_hands_texts_over_in_small_batches(spark):
     """An executor's memory holds several batches of texts at once; a bound that the session has set stays."""
     docs = spark.range(0, 3_000, 1, 1).selectExpr("id doc_id", "repeat(hex(xxhash64(id)), 500) text", "'en' lang", "'s' source", "8000L n_chars")
