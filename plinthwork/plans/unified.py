@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plinthwork.functions.numbers import present, rounded, weighted_mean_present
+from plinthwork.functions.numbers import clamp, present, rounded, weighted_mean_present
 from plinthwork.functions.storage import table
 from plinthwork.operators import scoring as sc
 from plinthwork.operators.relational import percent_rank_of_values
@@ -107,7 +107,7 @@ def target_tiers(spark, d):
     flat = sc.contracts("federal", F.lit(0.0), "local", "sources")
     state, sector = F.when(k % 3 != 1, (k % 25).cast("double")), F.when(k % 4 != 1, (k % 17).cast("double"))
     s = f.select(
-        "k", "nation", F.least(F.lit(10.0), weight0 + bonus).alias("s_osha"), sc.wage_cases("cases", "latest", day).alias("s_whd"), sc.organizing("wins", "elections", "losses", "voted", "charges", "charged", "won_i2", "won_st", day, (1, 2, 0)).alias("s_nlrb"),
+        "k", "nation", clamp(weight0 + bonus, 0.0, 10.0).alias("s_osha"), sc.wage_cases("cases", "latest", day).alias("s_whd"), sc.organizing("wins", "elections", "losses", "voted", "charges", "charged", "won_i2", "won_st", day, (1, 2, 0)).alias("s_nlrb"),
         F.when(F.col("federal"), F.greatest(flat, F.lit(5.0))).otherwise(flat).alias("s_contracts"), sc.financial("revenue", "assets", "expenses", "s1", "listed", "participants", "plans", "pension", "welfare").alias("s_financial"),
         sc.growth("industry", "change").alias("s_growth"), sc.density_signal(state, sector).alias("s_density"), sc.size(workers).alias("s_size"), sc.similarity("distance").alias("s_similarity"),
     )
