@@ -43,7 +43,9 @@ HOLIDAY_RATES = (
 )
 OVERTIME_RATES = ((r"double\s+time\s+and\s+(?:a\s+|one\s+)?half|2\.5\s*x", "2.5"), (r"double\s+time|2\s*x", "2.0"), (r"time\s+and\s+(?:a\s+|one\s+)?half|1\.5\s*x?|one\s+and\s+one[\s-]half", "1.5"))
 STARTS, STOPS = ("effective", "commenc", "begin", "start", "from"), ("expir", "terminat", "end", "through", "until", "conclud")
-CONTENTS = r"\.{4,}|·{4,}|\.\s*\.\s*\.\s*\.|\bSubject\s+Page\b|(?:\w[\w\s]{2,30}\s+\d{1,3}(?:,\s*\d{1,3}){2,})"
+CONTENTS = r"\.{4,}|·{4,}|\.\s*\.\s*\.\s*\.|\bSubject\s+Page\b"
+PAGES = r"\d{1,3}(?:,\s*\d{1,3}){2,}"
+INDEX = rf"\w[\w\s]{{2,30}}\s+{PAGES}"
 WAGE = r"\$\s*\d+[.,]\d{2}"
 
 
@@ -170,7 +172,8 @@ def probation_days(text) -> Column:
 
 
 def is_contents(text) -> Column:
-    return F.rlike(as_col(text), F.lit(CONTENTS))
+    x = as_col(text)
+    return F.rlike(x, F.lit(CONTENTS)) | (F.rlike(x, F.lit(PAGES)) & F.rlike(x, F.lit(INDEX)))  # lists of pages are rare, and soon found
 
 
 def kept_chunk(text, page, pages) -> Column:
