@@ -50,21 +50,27 @@ ORPHAN_SOURCES = ("osha", "whd", "990", "sam")
 CONFIRMED, PROBABLE = 0.96, 0.91
 
 
-def _pairs(sources: DataFrame, targets: DataFrame, tiers: tuple[Tier, ...], left: list[str], right: list[str]) -> DataFrame:
-    """``id, target_id, number, *left columns, *right columns`` of all pairs that share a key of a tier."""
+def _pairs(sources: DataFrame, targets: DataFrame, tiers: tuple[Tier, ...], left: list[str], right: list[str], firsts: bool = False) -> DataFrame:
+    """``id, target_id, number, *left columns, *right columns`` of all pairs that share a key of a tier.
+
+    With ``firsts``, targets with one key and one name, the only right column, are met as one, the smallest id, and have the name's trigrams ``target___g``.
+    """
     keyed = []
     for df, side, names, id in ((sources, "source", left, "id"), (targets, "target", right, "target_id")):
         keys = F.array_compact(F.array(*[F.when(t.key(side).isNotNull(), F.struct(F.lit(t.number).alias("number"), t.key(side).alias("key"))) for t in tiers]))
         keyed.append(df.select(F.col("id").alias(id), *[F.col(c).alias(f"{side}_{c}") for c in names], F.explode(keys).alias("__k")).select("*", "__k.*").drop("__k"))
+    if firsts:
+        keyed[1] = keyed[1].groupBy("number", "key", f"target_{right[0]}").agg(F.min("target_id").alias("target_id")).withColumn("target___g", sim.trigrams(f"target_{right[0]}"))
     return keyed[0].join(keyed[1], ["number", "key"]).drop("key")
 
 
 def scenario_match(sources: DataFrame, targets: DataFrame, tiers: tuple[Tier, ...] = SCENARIO, name: str = "name_standard") -> DataFrame:
     """``id, target_id, tier, method, score, confidence``: the best match of each source; none for a source without any."""
-    met = _pairs(sources, targets, tiers, [name], [name])
+    # A score is the names' alone: of the targets of one key and name, the smallest id stands for all. Grams are made once a name and key.
+    rare = _pairs(sources.withColumn("__g", sim.trigrams(name)), targets, tiers, ["__g"], [name], firsts=True)
     by = {t.number: F.struct(F.lit(t.method).alias("method"), F.lit(float(t.score)).alias("score"), F.lit(t.likeness).cast("double").alias("likeness"), F.lit(t.confidence).alias("confidence")) for t in tiers}
     told = F.create_map(*[x for n, v in by.items() for x in (F.lit(n), v)])
-    judged = met.withColumn("t", F.try_element_at(told, F.col("number"))).withColumn("score", F.when(F.col("t.likeness").isNull(), F.col("t.score")).otherwise(sim.trigram_similarity(f"source_{name}", f"target_{name}")))
+    judged = rare.withColumn("t", F.try_element_at(told, F.col("number"))).withColumn("score", F.when(F.col("t.likeness").isNull(), F.col("t.score")).otherwise(sim.jaccard("source___g", "target___g")))
     fine = judged.where(F.col("t.likeness").isNull() | (F.col("score") >= F.col("t.likeness")))
     best = first_by(fine, ["id"], [F.asc("number"), F.desc("score"), F.asc("target_id")])
     return best.select("id", "target_id", F.col("number").alias("tier"), "t.method", "score", "t.confidence")
